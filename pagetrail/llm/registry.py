@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this subpackage."""
 
-from pagetrail.llm import exact_dedup, packing, url_filter
+from pagetrail.llm import exact_dedup, packing, url_filter, warc_zip
 
-MODULES = (exact_dedup, packing, url_filter)
+MODULES = (exact_dedup, packing, url_filter, warc_zip)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
