@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             out = []
-            for row_id, ids in zip(batch.column(0).to_pylist(), words.batch(batch.column(1).to_pylist()), strict=True):
+            for row_id, ids in zip(batch.column(0).to_pylist(), words.all(batch.column(1).to_pylist()), strict=True):
                 ids += end
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     out.append((row_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, seen[length]))

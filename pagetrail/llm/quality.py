@@ -6,7 +6,8 @@ smallest hashes of their id); every document is then scored in one pass over who
 the expected grade and the tail probability of the top grade, and a document is kept when that
 probability reaches `keep_at`.
 
-Grades of `labels`: 0 low quality, 1 fine but toxic, 2 fine and clean.
+Grades of `labels`: 0 toxic, 1 clean but of low quality, 2 fine and clean. Only the ends of the scale
+can be told apart without limit, and toxic words must weigh as much as they can.
 
 Defined results: null text counts as empty; a document labelled several times takes its lowest
 grade; rows with a null label are not used; without any labelled row nothing is rejected and scores
@@ -28,6 +29,8 @@ from pagetrail.llm.shared import table
 #: Labelled rows used for fitting, at most; buckets of the hashed features.
 SAMPLE, BUCKETS = 16_000, 1 << 18
 KEEP_AT = 0.5
+#: Bytes of the beginnings of longer words that are features too.
+STEMS = (4, 6)
 PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 #: Byte classes whose share of a text is a feature.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"&$%*#", b"|", b".,", b"\n", b" ", b"<>{}[]=\\/")
@@ -42,15 +45,17 @@ def _level(share: float) -> int:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Buckets of the distinct words of a text and of its shape, ascending."""
+    """Buckets of the distinct words of a text, their beginnings and its shape, ascending."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.lower().translate(None, PUNCTUATION).split()
     hashed = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+    stems = {w[:n] + b"-" for w in set(words) for n in STEMS if len(w) > n}
     shape = np.bincount(_CLASS_OF[np.frombuffer(raw, np.uint8)], minlength=len(CLASSES) + 1)[1:] / max(1, len(raw))
     distinct = np.unique(hashed)
     marks = [*shape, float((hashed[1:] == hashed[:-1]).mean()) if len(words) > 1 else 0.0, 1 - len(distinct) / max(1, len(words))]
     named = [zlib.crc32(b"shape %d %d" % (k, _level(v))) for k, v in enumerate(marks)]
     named.append(zlib.crc32(b"length %d" % len(words).bit_length()))
+    named += map(zlib.crc32, stems)
     return np.unique(np.concatenate([distinct, np.array(named, np.uint32)]) % BUCKETS).astype(np.int32)
 
 
@@ -66,7 +71,8 @@ class Ordinal:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(2))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.08, ridge: float = 1e-4) -> Ordinal:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.3, ridge: float = 1e-5) -> Ordinal:
+        scale = self.telling(rows, y)
         share = np.array([(y <= k).mean() for k in range(self.grades - 1)]).clip(0.01, 0.99)
         theta = np.sort(np.log(share / (1 - share))) + 1e-3 * np.arange(self.grades - 1)
         base, steps = theta[0], np.log(np.diff(theta).clip(1e-3))  # thresholds stay ordered: gaps are exp(steps)
@@ -76,14 +82,14 @@ class Ordinal:
             for i in range(0, len(mixed), batch):
                 part = mixed[i : i + batch]
                 ids, sizes = np.concatenate([rows[j] for j in part]), np.array([len(rows[j]) for j in part])
-                score = np.add.reduceat(self.weights[ids], np.r_[0, np.cumsum(sizes)[:-1]])
+                score = np.add.reduceat((self.weights * scale)[ids], np.r_[0, np.cumsum(sizes)[:-1]])
                 theta = base + np.r_[0, np.cumsum(np.exp(steps))]
                 upper = np.where(y[part] < self.grades - 1, _sigmoid(theta[np.minimum(y[part], self.grades - 2)] - score), 1.0)
                 lower = np.where(y[part] > 0, _sigmoid(theta[np.maximum(y[part] - 1, 0)] - score), 0.0)
                 p = (upper - lower).clip(1e-12)
                 up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
                 slope = np.repeat((up - low) / len(part), sizes)  # d(-log p)/d(score)
-                gradient = np.bincount(ids, slope, BUCKETS) + ridge * self.weights
+                gradient = np.bincount(ids, slope, BUCKETS) * scale + ridge * self.weights
                 sums += gradient**2
                 self.weights -= rate * gradient / np.sqrt(sums)
                 by = np.bincount(np.minimum(y[part], self.grades - 2), -up * (y[part] < self.grades - 1), self.grades - 1) + np.bincount(np.maximum(y[part] - 1, 0), low * (y[part] > 0), self.grades - 1)
@@ -92,9 +98,21 @@ class Ordinal:
                 base_sum, step_sums = base_sum + tail[0] ** 2, step_sums + (tail[1:] * np.exp(steps)) ** 2
                 base -= rate * tail[0] / np.sqrt(base_sum)
                 steps -= rate * tail[1:] * np.exp(steps) / np.sqrt(step_sums)
-        self.thresholds = base + np.r_[0, np.cumsum(np.exp(steps))]
+        self.thresholds, self.weights = base + np.r_[0, np.cumsum(np.exp(steps))], self.weights * scale
         return self
 
+    def telling(self, rows: list[np.ndarray], y: np.ndarray, least: float = 3.0, full: float = 8.0) -> np.ndarray:
+        """0 to 1 for each bucket: how surely its share differs above and below some cut of the grades."""
+        best = np.zeros(BUCKETS)
+        ids, of = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
+        for k in range(self.grades - 1):
+            above, below = max(1, int((y > k).sum())), max(1, int((y <= k).sum()))
+            up, low = np.bincount(ids[of > k], minlength=BUCKETS), np.bincount(ids[of <= k], minlength=BUCKETS)
+            share = (up + low) / (above + below)
+            spread = np.sqrt((share * (1 - share) * (1 / above + 1 / below)).clip(1e-12))
+            best = np.maximum(best, np.abs(up / above - low / below) / spread)
+        return ((best - least) / (full - least)).clip(0, 1)
+
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k, a column each."""
         return _sigmoid(score[:, None] - self.thresholds)
@@ -102,7 +120,7 @@ class Ordinal:
 
 def graded(labels: DataFrame) -> DataFrame:
     """doc_id, grade from labels(doc_id, quality, toxic)."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
     return labels.select("doc_id", grade.alias("grade")).filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 

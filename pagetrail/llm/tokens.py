@@ -9,9 +9,10 @@ given to the library as it is. Both ways give the same ids.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 #: Words that a worker remembers; those met later are encoded once a batch.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -49,6 +50,17 @@ class WordEncoder:
         for w in new[max(0, self.remembered - (len(known) - len(new))) :]:
             del known[w]
 
+    def all(self, texts: list[str | None], chars: int = 2_000_000) -> Iterator[bytes]:
+        """The ids of each text in turn, with the words of few texts in memory at a time."""
+        part, size = [], 0
+        for text in texts:
+            part.append(text)
+            size += len(text or "")
+            if size >= chars:
+                yield from self.batch(part)
+                part, size = [], 0
+        yield from self.batch(part)
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         plans, first, later = [], set(), set()
