@@ -1,9 +1,9 @@
-"""Token ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit bytes.
+"""Token ids of whole texts, as little-endian unsigned 32-bit bytes, word by word.
 
 Byte-level pre-tokens never reach across a single space or line break between visible characters:
 the space opens the next pre-token and the break is one of its own. So a text of words with single
 separators is encoded word by word, and each distinct word only once in a while; any other text is
-given to the library as it is. Both ways give the same ids.
+encoded as it is. Both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -11,39 +11,25 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
+
 #: Words that a worker remembers; those met later are encoded once a batch.
 REMEMBERED = 400_000
-_ENCODERS: dict[str, "WordEncoder"] = {}
+_ENCODERS: dict[str, "LibraryWords"] = {}
 
 
-class WordEncoder:
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
-        from tokenizers import Tokenizer
+class WordMemo:
+    """Needs whole(text) and many(words, lead): the ids of a text, and of each word after lead."""
 
-        self.np = np
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    def __init__(self, remembered: int = REMEMBERED):
         self.first, self.later, self.remembered = {}, {}, remembered
         self.newline = self.whole("\n")
 
-    def whole(self, text: str) -> bytes:
-        return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def learn(self, known: dict[str, bytes], words: set[str], lead: str) -> list[str]:
         new = list(words.difference(known))
-        mark = int.from_bytes(self.newline[:4], "little")
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            ids = self.np.array(self.tokenizer.encode("\n".join(lead + w for w in part), add_special_tokens=False).ids, "<u4")
-            ends = self.np.flatnonzero(ids == mark).tolist()
-            if len(ends) != len(part) - 1:
-                raise ValueError("the vocabulary does not keep a line break apart")
-            data, at = ids.tobytes(), 0
-            for w, end in zip(part, [*ends, len(ids)], strict=True):
-                known[w] = data[4 * at : 4 * end]
-                at = end + 1
+            known.update(zip(part, self.many(part, lead), strict=True))
         return new
 
     def forget(self, known: dict[str, bytes], new: list[str]) -> None:
@@ -87,8 +73,31 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str) -> WordEncoder:
+class LibraryWords(WordMemo):
+    """By the tokenizers library; many words go in one call, apart by line breaks."""
+
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        super().__init__(remembered)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def many(self, words: list[str], lead: str) -> list[bytes]:
+        data = self.whole("\n".join([lead + w for w in words]))
+        ends = np.flatnonzero(np.frombuffer(data, "<u4") == int.from_bytes(self.newline, "little"))
+        if len(ends) != len(words) - 1:
+            raise ValueError("the vocabulary does not keep a line break apart")
+        cuts = [0, *(4 * ends + 4).tolist()]
+        return [data[a:b] for a, b in zip(cuts, [*(4 * ends).tolist(), len(data)], strict=True)]
+
+
+def encoder(path: str) -> LibraryWords:
     """The worker's encoder of that vocabulary; it lives as long as the worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = LibraryWords(path)
     return _ENCODERS[path]
