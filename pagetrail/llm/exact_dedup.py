@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagetrail.llm.bloom import joined_few
 from pagetrail.llm.shared import table, written
 
 #: Candidates kept from the sketch, and the counters it may use: both bound what is broadcast.
@@ -52,9 +53,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Dropped rows leave by an anti join on id and digest; a row without an id stays only where its
     whole group has none.
     """
-    out = decisions(docs, id_col, text_col, **how).filter(~F.col("kept")).select(F.col("id").alias("dropped"), F.col("digest").alias("digest"))
-    digest = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
-    return docs.join(out, docs[id_col].eqNullSafe(out["dropped"]) & (digest == out["digest"]), "left_anti")
+    out = decisions(docs, id_col, text_col, **how).filter(~F.col("kept")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    keyed = docs.withColumns({"__id": F.col(id_col), "__digest": digest})
+    return joined_few(keyed, written(out.distinct(), "dropped"), ["__id", "__digest"], "left_anti").select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetrail.llm.bloom import joined_few
 from pagetrail.llm.components import components
 from pagetrail.llm.hashing import mixed, word_hashes
 from pagetrail.llm.shared import table, written
@@ -203,9 +204,9 @@ def near_links(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id"
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs of which one of each group stays, with their own columns."""
-    gone = near_links(docs, words, percent, id_col, text_col, **how).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    gone = written(gone, "gone")
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    gone = near_links(docs, words, percent, id_col, text_col, **how).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    keyed = docs.withColumn("__gone", F.col(id_col).cast("long"))
+    return joined_few(keyed, written(gone, "gone"), ["__gone"], "left_anti").select(*docs.columns)
 
 
 def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

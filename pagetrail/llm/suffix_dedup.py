@@ -1,6 +1,7 @@
 """Removal of long repeated passages by prefix-free parsing.
 
-A byte place whose next `TRIGGER` bytes have a rolling hash of zero (mod `MODULUS`) begins a phrase.
+A byte place whose next `TRIGGER` bytes have a rolling hash of zero (modulo about a sixth of the
+length, a power of two) begins a phrase.
 The rule looks at those bytes alone, so equal strings are cut alike, and no phrase (taken with the
 trigger that follows it) is a prefix of another. A window of `length` bytes is known by its first
 phrase start: what lies before it is a suffix of a dictionary phrase, what follows is a piece of the
@@ -35,20 +36,26 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetrail.llm.bloom import joined_few
 from pagetrail.llm.hashing import mixed, prefix_sums, range_hashes
 from pagetrail.llm.shared import table, written
 
-LENGTH, TRIGGER, MODULUS_BITS, HOT = 400, 16, 6, 20_000
+LENGTH, TRIGGER, HOT = 400, 16, 20_000
 _TRIGGER_BYTES = np.random.default_rng(3).integers(0, 1 << 32, 256, np.uint32)
 _FAR = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
-def phrase_starts(data: np.ndarray) -> np.ndarray:
+def modulus_bits(length: int) -> int:
+    """So many that a window without a phrase start among its first four fifths is rare: 64 for 400 bytes."""
+    return max(1, int(np.log2(max(2.0, length / 6.25))))
+
+
+def phrase_starts(data: np.ndarray, bits: int) -> np.ndarray:
     h, span, base = _TRIGGER_BYTES[data], 1, 0x9E3779B1
     while span < TRIGGER:
         h = h[:-span] * np.uint32(base) + h[span:]
         span, base = 2 * span, base * base & 0xFFFFFFFF
-    return np.flatnonzero((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - MODULUS_BITS) == 0)
+    return np.flatnonzero((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits) == 0)
 
 
 def anchor_bytes(length: int) -> int:
@@ -60,7 +67,7 @@ def neighbourhoods(raw: bytes, length: int):
     data = np.frombuffer(raw, np.uint8)
     n, anchor = len(data), anchor_bytes(length)
     far = length - anchor
-    starts, sums = phrase_starts(data), prefix_sums(data)
+    starts, sums = phrase_starts(data, modulus_bits(length)), prefix_sums(data)
     previous = np.r_[-1, starts[:-1]] if len(starts) else starts
     before, after = np.minimum(starts - previous - 1, far), np.minimum(length, n - starts)
     use = (after >= anchor) & (before + after >= length)
@@ -97,7 +104,7 @@ def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int) -> li
     # dictionary: ranks of the distinct phrases of all right parts, each with the trigger after it
     parses = []
     for right in rights:
-        cuts = phrase_starts(np.frombuffer(right, np.uint8)).tolist() if len(right) >= TRIGGER else []
+        cuts = phrase_starts(np.frombuffer(right, np.uint8), modulus_bits(length)).tolist() if len(right) >= TRIGGER else []
         cuts = [0, *(c for c in cuts if c)]
         parses.append([right[a : b + TRIGGER] for a, b in zip(cuts, [*cuts[1:], len(right)], strict=True)])
     rank = {phrase: k for k, phrase in enumerate(sorted({p for parse in parses for p in parse}), 1)}
@@ -294,7 +301,8 @@ def repeats(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     decided = met.filter("kind = 0").select("doc_id", "text_hash", F.col("place").alias("start"), (F.col("place") + F.col("after")).alias("end"))
 
     asked = met.filter("kind = 2").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "place", "before", "after", "times", "variety")).alias("asked"))
-    found = written(texts.join(asked, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "asked").mapInArrow(borders, BORDER), "borders")
+    asked = written(asked, "asked")
+    found = written(joined_few(texts, asked, ["doc_id", "text_hash"], "inner").select("doc_id", "text_hash", "text", "asked").mapInArrow(borders, BORDER), "borders")
     cold = found.filter(F.col("variety") <= hot).repartition(n, "first").sortWithinPartitions("first")
     by_order = cold.mapInArrow(lambda batches: ordered(batches, length), INTERVAL)
     out = decided.unionByName(by_order)
@@ -306,12 +314,13 @@ def repeats(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 
 
 def gathered(intervals: DataFrame) -> DataFrame:
-    return intervals.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return written(intervals.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
 
 def runs(spans: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs (starts, ends) of a text's intervals."""
-    start, end = np.array([s["start"] for s in spans or []], np.int64), np.array([s["end"] for s in spans or []], np.int64)
+    pairs = [(s["start"], s["end"]) for s in spans] if spans is not None else []
+    start, end = np.array(pairs, np.int64).reshape(-1, 2).T
     return union(np.zeros(len(start), np.int64), start, end)[1:]
 
 
@@ -334,13 +343,13 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = rows.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "absent", "text", "spans")
+    joined = joined_few(rows, spans, ["doc_id", "text_hash"], "left").select("doc_id", "absent", "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with repeated passages cut from the text; a character that is covered in part stays, null stays null."""
-    spans = gathered(repeats(keyed(docs, id_col, text_col), length, **how)).select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"), F.col("spans").alias("span_list"))
+    spans = gathered(repeats(keyed(docs, id_col, text_col), length, **how))
     doc_id, text = key_columns(id_col, text_col)
 
     @F.pandas_udf("string")
@@ -363,9 +372,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
         return pd.Series(out)
 
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_id.alias("own_id"), F.xxhash64(text).alias("own_hash"))
-    joined = own.join(spans, (F.col("own_id") == F.col("span_id")) & (F.col("own_hash") == F.col("span_hash")), "left")
-    kept = F.when(F.col("span_list").isNull(), F.col(f"row.`{text_col}`")).otherwise(cut(F.col(f"row.`{text_col}`"), F.col("span_list")))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_id.alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    joined = joined_few(own, spans, ["doc_id", "text_hash"], "left")
+    kept = F.when(F.col("spans").isNull(), F.col(f"row.`{text_col}`")).otherwise(cut(F.col(f"row.`{text_col}`"), F.col("spans")))
     return joined.select(*[kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -13,17 +13,16 @@ repeated rows are judged alike; an empty list blocks nothing; other columns are
 
 from __future__ import annotations
 
-import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetrail.llm.bloom import MAX_BLOCKS, probed
 from pagetrail.llm.shared import table, written
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-MAX_BLOCKS, BITS_A_URL, PROBES = 1 << 17, 12, 8
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 QUERY = r"(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)"
 TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid)(=|$)"
@@ -54,50 +53,25 @@ def by_rule(host: Column, path: Column, rules: list[tuple[str, str, str]], resul
     return found if rules else F.lit(None).cast("string")
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.xxhash64(key).bitwiseAND(F.lit(blocks - 1))
-
-
-def _bits(key: Column) -> list[Column]:
-    """Places of a key's bits in its block, 0 to 255."""
-    return [F.shiftright(F.xxhash64(key, F.lit("bits")), 8 * i).bitwiseAND(F.lit(255)).cast("int") for i in range(PROBES)]
-
-
-def bloom_blocks(listed: DataFrame, key: str, blocks: int) -> DataFrame:
-    """(block, words): a row for each block that has bits set; words are its four longs."""
-    bits = listed.select(_block(F.col(key), blocks).alias("block"), F.explode(F.array(*_bits(F.col(key)))).alias("bit"))
-    words = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0))) for w in range(4)]
-    return bits.groupBy("block").agg(F.array(*words).alias("words"))
-
-
 def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url", listed_col: str = "url", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """pages with host, path, rule, maybe (passed the filter) and verdict in a struct `url_verdict`.
 
     listed: URLs that are blocked where no rule decides.
     """
     keys = written(listed.select(canonical(F.col(listed_col)).alias("key")).filter("key IS NOT NULL").distinct(), "listed")
-    n = keys.count()
-    blocks = min(max_blocks, 1 << max(4, math.ceil(math.log2(max(1, n) * BITS_A_URL / 256))))
-    bloom = bloom_blocks(keys, "key", blocks)
-
     url = pages[url_col].cast("string")
     judged = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"))
     judged = judged.withColumns({
         "rule": by_rule(F.col("host"), F.col("path"), rules, lambda r: r[1] + r[2]),
         "verdict": by_rule(F.col("host"), F.col("path"), rules, lambda r: r[0]),
     })
-    asks = judged.withColumn("block", F.when(F.col("rule").isNull(), _block(F.col("key"), blocks)))
-    probed = asks.join(F.broadcast(bloom), "block", "left")
-    hit = F.lit(True)
-    for bit in _bits(F.col("key")):
-        word = F.element_at("words", (F.floor(bit / 64) + 1).cast("int"))
-        hit = hit & (F.getbit(word, bit % 64) == 1)
-    probed = probed.withColumn("maybe", F.col("words").isNotNull() & F.col("rule").isNull() & F.coalesce(hit, F.lit(False)))
+    asked = judged.withColumn("asked", F.when(F.col("rule").isNull(), F.col("key")))
+    seen = probed(asked, "asked", keys, "key", max_blocks=max_blocks)
 
     shown = [F.col("row"), F.col("host"), F.col("path"), F.col("rule"), F.col("maybe")]
-    clear = probed.filter(~F.col("maybe")).select(*shown, F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    clear = seen.filter(~F.col("maybe")).select(*shown, F.coalesce("verdict", F.lit("allow")).alias("verdict"))
     exact = keys.withColumn("listed", F.lit(True))
-    asked = probed.filter("maybe").join(exact.hint("shuffle_hash"), "key", "left").select(*shown, F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"))
+    asked = seen.filter("maybe").join(exact.hint("shuffle_hash"), "key", "left").select(*shown, F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"))
     return clear.unionByName(asked).select("row.*", F.struct("host", "path", "rule", "maybe", "verdict").alias("url_verdict"))
 
 
