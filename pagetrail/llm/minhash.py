@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrail.llm.bloom import joined_few
+from pagetrail.llm.bloom import joined_few, probed
 from pagetrail.llm.components import components
 from pagetrail.llm.hashing import mixed, word_hashes
 from pagetrail.llm.shared import table, written
@@ -169,7 +169,9 @@ def near_links(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id"
     dealt = groups.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     dealt = dealt.select("node", "component", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    texts = rows.filter("doc_id IS NOT NULL").join(dealt, F.col("doc_id") == F.col("node")).select("component", "low", "high", "chunk", "doc_id", "text")
+    # few texts are in a group: the others stay where they are, as long as the filter can tell
+    maybe = probed(rows, "doc_id", groups.select("node"), "node").filter("maybe")
+    texts = maybe.hint("merge").join(dealt, F.col("doc_id") == F.col("node")).select("component", "low", "high", "chunk", "doc_id", "text")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
