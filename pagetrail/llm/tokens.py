@@ -54,7 +54,7 @@ class WordMemo:
             lines = []
             for line in (text or "").split("\n"):
                 words = line.split()
-                if not words or len(words) != line.count(" ") + 1:
+                if not words or " ".join(words) != line:
                     lines = None
                     break
                 lines.append(words)
