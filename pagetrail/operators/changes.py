@@ -14,7 +14,7 @@ def latest_by_url(captures: DataFrame) -> DataFrame:
 def upsert(index: DataFrame, new: DataFrame) -> DataFrame:
     """index with the latest of each URL in new in place of its own row."""
     latest = latest_by_url(new)
-    return index.join(latest.select("url"), "url", "left_anti").unionByName(latest)
+    return index.join(latest.select("url"), "url", "left_anti").unionByName(latest).select(*index.columns)
 
 
 def apply_log(log: DataFrame) -> DataFrame:
@@ -25,8 +25,8 @@ def apply_log(log: DataFrame) -> DataFrame:
 def delete_by_url(index: DataFrame, urls: DataFrame, user_id: int | None = None) -> DataFrame:
     """index without those URLs; with a user_id, only that user's pages can be deleted."""
     gone = urls.select(F.col("url").alias("gone")).distinct()
-    match = F.col("url") == F.col("gone")
-    return index.join(gone, match & (F.col("user_id") == user_id) if user_id is not None else match, "left_anti")
+    match = index["url"] == gone["gone"]
+    return index.join(gone, match & (index["user_id"] == user_id) if user_id is not None else match, "left_anti")
 
 
 def recent_captures(log: DataFrame, k: int = 15) -> DataFrame:

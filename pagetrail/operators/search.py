@@ -109,4 +109,4 @@ def search(index: DataFrame, postings: DataFrame, queries: DataFrame, fields: tu
 
 def update_postings(postings: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
     """postings without those of changed(id), with the new ones; statistics are derived from the result."""
-    return postings.join(changed.select("id").distinct(), "id", "left_anti").unionByName(new)
+    return postings.join(changed.select("id").distinct(), "id", "left_anti").unionByName(new).select(*postings.columns)
