@@ -1,44 +1,16 @@
-"""What the training-data operators share: the cluster's shared folder, written tables."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-TOKENIZER_JSON = "byte_bpe_50k.json"
-TOKENIZER_RANKS = "byte_bpe_50k.tiktoken"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from pagetrail.sources.scratch import fresh_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at if "://" in at or at.startswith("file:") else f"file://{at}"
+__all__ = ["TOKENIZER_JSON", "TOKENIZER_RANKS", "fresh_path", "shared_dir", "table", "written"]
 
+#: Files of the public tokenizers; their folder is a parameter of the operators.
+TOKENIZER_JSON, TOKENIZER_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that df does not have yet."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
