@@ -17,7 +17,8 @@ def content_digest(content: Column, stored: Column) -> Column:
 
 
 def epoch_seconds(ts: Column) -> Column:
-    return F.unix_seconds(ts.cast("timestamp"))
+    """Of a timestamp without zone, read as UTC whatever the session's zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
 def joined_words(words: Column) -> Column:

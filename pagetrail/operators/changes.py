@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def latest_by_url(captures: DataFrame) -> DataFrame:
-    newest = Window.partitionBy("url").orderBy(F.desc("seq"))
-    return captures.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
+    """The row of largest seq of each URL; a much captured URL is reduced before the shuffle."""
+    row = F.struct(*[captures[c] for c in captures.columns])
+    return captures.groupBy("url").agg(F.max_by(row, "seq").alias("row")).select("row.*")
 
 
 def upsert(index: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def file_dedup(files: DataFrame) -> DataFrame:
     """Every upload with the id and name of the first one of its hash, which is what is returned for it."""
-    first = Window.partitionBy("hash").orderBy("id")
-    return files.select("id", "hash", F.first("id").over(first).alias("stored_id"), F.first("filename").over(first).alias("stored_filename"), (F.row_number().over(first) == 1).alias("is_first"))
+    first = files.groupBy("hash").agg(F.min(F.struct("id", "filename")).alias("stored"))
+    joined = files.select("id", "hash").join(first, "hash")
+    return joined.select("id", "hash", F.col("stored.id").alias("stored_id"), F.col("stored.filename").alias("stored_filename"), (F.col("id") == F.col("stored.id")).alias("is_first"))
 
 
 def visible_files(files: DataFrame, public_only: bool) -> DataFrame:

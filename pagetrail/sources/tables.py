@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail import schemas
@@ -35,8 +35,9 @@ def store_contents(contents: DataFrame, stored: DataFrame | None = None) -> Data
 
     contents: id, content. Write the result partitioned by `prefix`.
     """
-    first = Window.partitionBy("hash").orderBy("id")
-    new = contents.withColumn("hash", F.sha2("content", 256)).withColumn("n", F.row_number().over(first)).filter("n = 1")
+    hashed = contents.withColumn("hash", F.sha2("content", 256))
+    first = hashed.groupBy("hash").agg(F.min("id").alias("id"))
+    new = hashed.join(first, ["hash", "id"], "left_semi").dropDuplicates(["hash"])
     if stored is not None:
         new = new.join(stored.select("hash"), "hash", "left_anti")
     return new.select("hash", F.octet_length("content").cast("long").alias("size"), F.substring("hash", 1, 2).alias("prefix"), "content")
