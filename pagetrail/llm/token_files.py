@@ -3,7 +3,7 @@
 Three models predict an id: order 0, counts in a tree of four 16-way digits; order 1 and order 2, the
 id that last followed the same one or two ids, with a confidence. Their mixture weights start at the
 hit rates seen so far at that confidence and are updated by Bayes' rule after every digit; the
-mixture drives a range coder with 48-bit state. Every block starts all models anew, and blocks are
+mixture drives a range coder with 32-bit state. Every block starts all models anew, and blocks are
 coded side by side, one numpy lane each, so a step codes one digit of hundreds of blocks.
 
 File: MAGIC; groups of blocks; a zlib-packed JSON directory (groups, blocks with size, checksums of
@@ -33,13 +33,13 @@ from pagetrail.llm.warc_zip import opened
 
 MAGIC, END_ID = b"TOKIDS01", 0
 #: Lanes that a group should have, most tokens of a block, most tokens of a group (bounds the memory).
-LANES, MOST, GROUP = 1024, 8192, 1 << 23
+LANES, MOST, GROUP = 4096, 8192, 1 << 23
 #: Nodes of the tree of digits; those of the last digit share FOLDED places, which ids under 16 * FOLDED have to themselves.
-FOLDED = 512
-NODES, STARTS, TOP = 1 + 16 + 256 + FOLDED, (0, 1, 17, 273), 1 << 16
-CONTEXTS = (1 << 11, 1 << 13)
-STEP, LEAST, MASK = 16, np.uint64(1 << 32), np.uint64((1 << 48) - 1)
-_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
+FOLDED = 256
+NODES, STARTS, TOP = 1 + 16 + 256 + FOLDED, (0, 1, 17, 273), 1 << 12
+CONTEXTS = (1 << 9, 1 << 11)
+STEP, LEAST, MASK = 16, np.uint32(1 << 16), np.uint32((1 << 32) - 1)
+_12, _16 = np.uint32(12), np.uint32(16)
 
 
 class Models:
@@ -51,7 +51,7 @@ class Models:
         self.counts = np.ones((lanes * NODES, 16), np.uint8)
         self.counts[self.lane * NODES] = 1 + 15 // (1 + np.arange(16))  # low ids are the frequent ones
         self.cells = self.counts.reshape(-1)
-        self.guess = [np.zeros(lanes * n, np.int64) for n in CONTEXTS]
+        self.guess = [np.zeros(lanes * n, np.uint16) for n in CONTEXTS]
         self.sure = [np.zeros(lanes * n, np.int8) for n in CONTEXTS]
         self.hits = [np.full(lanes * 8, 0.25, np.float32) for _ in CONTEXTS]
         self.last = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
@@ -64,8 +64,8 @@ class Models:
         a, b = self.last
         at = ((a * 40_503 >> 5) & CONTEXTS[0] - 1, ((a * 40_503 + b * 60_493) >> 3) & CONTEXTS[1] - 1)
         self.at = [self.lane * n + x for n, x in zip(CONTEXTS, at, strict=True)]
-        self.id = [g[x] for g, x in zip(self.guess, self.at, strict=True)]
-        self.level = [s[x] for s, x in zip(self.sure, self.at, strict=True)]
+        self.id = [g.take(x).astype(np.int64) for g, x in zip(self.guess, self.at, strict=True)]
+        self.level = [s.take(x) for s, x in zip(self.sure, self.at, strict=True)]
         rate = [np.where(v > 0, h[self.lane * 8 + v], np.float32(0)) for h, v in zip(self.hits, self.level, strict=True)]
         self.weight = [rate[0] * (1 - rate[1]), rate[1]]
         self.prefix = np.zeros(len(self.lane), np.int64)
@@ -77,10 +77,13 @@ class Models:
         self.share, self.alive = [], []
         own = _OWN
         for w in self.weight:  # lanes where that order still has a say: few after the first digit
-            share = np.floor(np.minimum(w, _MOST_SHARE) * _SHARES)
+            some = np.flatnonzero(w)
+            share = np.floor(np.minimum(w.take(some), _MOST_SHARE) * _SHARES)
             self.share.append(share)
-            self.alive.append(np.flatnonzero(share))
-            own = own - share
+            self.alive.append(some)
+            if len(some):
+                own = np.full(len(self.lane), _OWN) if own is _OWN else own
+                own[some] -= share
         self.scale = own / self.sums[:, 15]
         self.shift = 12 - 4 * k
 
@@ -89,28 +92,27 @@ class Models:
         at = self.flat + s
         self.own, upto = self.c.take(at), self.sums.take(at)
         low, high = np.floor((upto - self.own) * self.scale), np.floor(upto * self.scale)
-        start, self.size = s + low, _ONE + high - low
+        start, self.size = s.astype(np.float32) + low, _ONE + high - low
         self.right = []
-        for x, share, some in zip(self.id, self.share, self.alive, strict=True):
-            said, digit, part = x[some] >> self.shift & 15, s[some], share[some]
+        for x, part, some in zip(self.id, self.share, self.alive, strict=True):
+            said, digit = x.take(some) >> self.shift & 15, s.take(some)
             start[some] += part * (said < digit)
             right = part * (said == digit)
             self.size[some] += right
             self.right.append(right)
-        return start.astype(np.uint64), self.size.astype(np.uint64)
+        return start.astype(np.int32).view(np.uint32), self.size.astype(np.int32).view(np.uint32)
 
     def find(self, place: np.ndarray) -> np.ndarray:
         """The digit whose range holds place."""
         ends = np.floor(self.sums * self.scale[:, None]) + _ONE_TO_16
         for x, share, some in zip(self.id, self.share, self.alive, strict=True):
-            ends[some] += share[some, None] * _FROM.take(x[some] >> self.shift & 15, axis=0)
+            ends[some] += share[:, None] * _FROM.take(x.take(some) >> self.shift & 15, axis=0)
         under = np.bitwise_count((ends <= place.astype(np.float32)[:, None]).view(np.uint64))
         return np.minimum(under[:, 0] + under[:, 1], 15).astype(np.int64)
 
     def told(self, s: np.ndarray) -> None:
         for weight, right, some in zip(self.weight, self.right, self.alive, strict=True):
-            weight[:] = 0
-            weight[some] = right / self.size[some]
+            weight[some] = right / self.size.take(some)
         full = np.flatnonzero(self.own > 255 - STEP)
         if len(full):
             self.counts[self.row[full]] = (self.c[full] >> 1) + 1
@@ -129,7 +131,7 @@ class Models:
 
 
 #: All of single precision: the same on either side, and whole numbers up to TOP are exact.
-_ONE, _OWN, _MOST_SHARE, _SHARES = np.float32(1), np.float32(TOP - 16), np.float32(0.49), np.float32(65_000)
+_ONE, _OWN, _MOST_SHARE, _SHARES = np.float32(1), np.float32(TOP - 16), np.float32(0.49), np.float32(4_000)
 _UPTO = np.triu(np.ones((16, 16), np.float32))
 _FROM, _ONE_TO_16 = np.triu(np.ones((16, 16), np.float32)), np.arange(1, 17, dtype=np.float32)
 
@@ -147,7 +149,7 @@ def encode(ids: np.ndarray, block: int) -> list[bytes]:
     table_ = np.zeros((lanes, block), np.int64)
     table_.reshape(-1)[: len(ids)] = ids
     table_ = np.ascontiguousarray(table_.T)
-    models, low, span = Models(lanes), np.zeros(lanes, np.uint64), np.full(lanes, MASK)
+    models, low, span = Models(lanes), np.zeros(lanes, np.uint32), np.full(lanes, MASK)
     out, used = np.zeros((lanes, min(len(ids), block) * 4 + 4), np.uint16), np.zeros(lanes, np.int64)
     for step, active in _lanes(len(ids), block):
         if active < len(models.lane):
@@ -158,11 +160,10 @@ def encode(ids: np.ndarray, block: int) -> list[bytes]:
             s = token >> 12 - 4 * k & 15
             models.digit(k)
             start, size = models.range_of(s)
-            unit = span[:active] >> _16
+            unit = span[:active] >> _12
             at, wide = low[:active] + unit * start, unit * size
-            over = np.flatnonzero(at > MASK)
+            over = np.flatnonzero(at < low[:active])
             if len(over):  # a carry runs back into what is written
-                at[over] &= MASK
                 back = used[over] - 1
                 while len(over):
                     out[over, back] += np.uint16(1)
@@ -170,15 +171,16 @@ def encode(ids: np.ndarray, block: int) -> list[bytes]:
                     over, back = over[on], back[on] - 1
             shift = np.flatnonzero(wide < LEAST)
             if len(shift):
-                out[shift, used[shift]] = (at[shift] >> _32).astype(np.uint16)
+                top = at[shift]
+                out[shift, used[shift]] = (top >> _16).astype(np.uint16)
                 used[shift] += 1
-                at[shift] = (at[shift] << _16) & MASK
+                at[shift] = top << _16
                 wide[shift] <<= _16
             low[:active], span[:active] = at, wide
             models.told(s)
         models.end()
-    for move in (32, 16, 0):
-        out[np.arange(lanes), used] = (low >> np.uint64(move)).astype(np.uint16)
+    for move in (16, 0):
+        out[np.arange(lanes), used] = (low >> np.uint32(move)).astype(np.uint16)
         used += 1
     return [out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes)]
 
@@ -189,8 +191,7 @@ def decode(blocks: list[bytes], n: int, block: int) -> np.ndarray:
     words = np.zeros((lanes, max(map(len, blocks)) // 2 + 4), np.uint16)
     for i, b in enumerate(blocks):
         words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    wide = words[:, :3].astype(np.uint64)
-    code, used = wide[:, 0] << _32 | wide[:, 1] << _16 | wide[:, 2], np.full(lanes, 3)
+    code, used = words[:, 0].astype(np.uint32) << _16 | words[:, 1], np.full(lanes, 2)
     models, span, table_ = Models(lanes), np.full(lanes, MASK), np.zeros((min(n, block), lanes), np.int64)
     for step, active in _lanes(n, block):
         if active < len(models.lane):
@@ -198,13 +199,13 @@ def decode(blocks: list[bytes], n: int, block: int) -> np.ndarray:
         models.begin()
         for k in range(4):
             models.digit(k)
-            unit = span[:active] >> _16
+            unit = span[:active] >> _12
             s = models.find(code[:active] // unit)
             start, size = models.range_of(s)
             rest, wide = code[:active] - unit * start, unit * size
             shift = np.flatnonzero(wide < LEAST)
             if len(shift):
-                rest[shift] = rest[shift] << _16 | words[shift, used[shift]]
+                rest[shift] = rest[shift] << _16 | words[shift, used[shift]].astype(np.uint32)
                 used[shift] += 1
                 wide[shift] <<= _16
             code[:active], span[:active] = rest, wide
