@@ -37,7 +37,7 @@ LANES, MOST, GROUP = 4096, 8192, 1 << 23
 #: Nodes of the tree of digits; those of the last digit share FOLDED places, which ids under 16 * FOLDED have to themselves.
 FOLDED = 256
 NODES, STARTS, TOP = 1 + 16 + 256 + FOLDED, (0, 1, 17, 273), 1 << 12
-CONTEXTS = (1 << 9, 1 << 11)
+CONTEXTS = (1 << 8, 1 << 10)
 STEP, LEAST, MASK = 16, np.uint32(1 << 16), np.uint32((1 << 32) - 1)
 _12, _16 = np.uint32(12), np.uint32(16)
 
@@ -342,7 +342,7 @@ def read_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield made()
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return placed.repartitionByRange(n, "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
