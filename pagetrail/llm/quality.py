@@ -124,22 +124,21 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade")).filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", skip: int = 0) -> Ordinal | None:
-    """A model from at most `sample` rows of grades(doc_id, grade); skip leaves out those before (for held-out rows)."""
-    chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample + skip)
-    if skip:
-        chosen = chosen.subtract(grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(skip))
-    chosen = chosen.select(F.col("doc_id").alias("label_id"), "grade")
+def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
+    """A model from at most `sample` rows of grades(doc_id, grade); of rows that share an id one is used."""
+    chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("label_id"), "grade")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["grade", "ids"])
+            found = [features(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label_id", "grade", "ids"])
 
+    # the chosen labels are bounded by the sample, and so is what comes back
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
-    got = picked.select("grade", "text").mapInArrow(run, "grade int, ids array<int>").toArrow()
+    made = picked.select("label_id", "grade", "text").mapInArrow(run, "label_id long, grade int, ids array<int>")
+    got = made.dropDuplicates(["label_id"]).select("grade", "ids").toArrow()
     y = np.array(got.column("grade").to_pylist(), np.int64)
     if not len(y):
         return None
