@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words that a worker remembers; those met later are encoded once a batch.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 _ENCODERS: dict[str, "LibraryWords"] = {}
 
 
@@ -36,41 +36,39 @@ class WordMemo:
         for w in new[max(0, self.remembered - (len(known) - len(new))) :]:
             del known[w]
 
-    def all(self, texts: list[str | None], chars: int = 2_000_000) -> Iterator[bytes]:
-        """The ids of each text in turn, with the words of few texts in memory at a time."""
-        part, size = [], 0
-        for text in texts:
-            part.append(text)
-            size += len(text or "")
-            if size >= chars:
-                yield from self.batch(part)
-                part, size = [], 0
-        yield from self.batch(part)
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null counts as empty."""
-        plans, first, later = [], set(), set()
+    def all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text in turn; null counts as empty.
+
+        The words of all texts are learned first, so each costs one call however often it comes; the
+        texts are split again then, as lists of all their words would take several times their room.
+        """
+        first, later = set(), set()
         for text in texts:
-            lines = []
-            for line in (text or "").split("\n"):
-                words = line.split()
-                if not words or " ".join(words) != line:
-                    lines = None
-                    break
-                lines.append(words)
+            for words in lines_of(text) or ():
                 first.add(words[0])
                 later.update(words[1:])
-            plans.append(lines)
         new_first, new_later = self.learn(self.first, first, ""), self.learn(self.later, later, " ")
-        out, one, more = [], self.first.__getitem__, self.later.__getitem__
-        for text, lines in zip(texts, plans, strict=True):
+        del first, later
+        one, more = self.first.__getitem__, self.later.__getitem__
+        for text in texts:
+            lines = lines_of(text)
             if lines is None:
-                out.append(self.whole(text) if text else b"")
+                yield self.whole(text) if text else b""
             else:
-                out.append(self.newline.join([one(words[0]) + b"".join(map(more, words[1:])) for words in lines]))
+                yield self.newline.join([one(words[0]) + b"".join(map(more, words[1:])) for words in lines])
         self.forget(self.first, new_first)
         self.forget(self.later, new_later)
-        return out
+
+
+def lines_of(text: str | None) -> list[list[str]] | None:
+    """The words of each line, or null where other white space than single spaces and breaks stands between them."""
+    lines = []
+    for line in (text or "").split("\n"):
+        words = line.split()
+        if not words or " ".join(words) != line:
+            return None
+        lines.append(words)
+    return lines
 
 
 class LibraryWords(WordMemo):
