@@ -176,9 +176,9 @@ def key_columns(id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def parse(batches: Iterator, length: int) -> Iterator:
-    """Neighbourhoods of the texts of a batch, each once; those seen twice are decided at once."""
-    for batch in batches:
+def parse(batches: Iterator, length: int, most: int = 3000) -> Iterator:
+    """Neighbourhoods of so many texts, each once; those seen twice are decided at once."""
+    for batch in (b.slice(k, most) for b in batches for k in range(0, b.num_rows, most)):
         ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         found = [neighbourhoods(t.encode("utf-8", "replace"), length) for t in batch.column(2).to_pylist()]
         if not found:
