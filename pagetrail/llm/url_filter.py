@@ -78,7 +78,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
 def known_bad_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs of the pages whose document is labelled toxic or of low quality: the list of op4."""
     number = F.regexp_extract("url", r"/[a-z]{2}/([0-9]+)", 1)
-    pages = table(spark, sf_dir, "pages").select("url", F.when(number != "", number.cast("long")).alias("doc_id"))
+    pages = table(spark, sf_dir, "pages").select("url", F.when(number != "", number.try_cast("long")).alias("doc_id"))
     bad = table(spark, sf_dir, "labels").filter("toxic = 1 OR quality = 0").select("doc_id").distinct()
     return pages.join(bad, "doc_id", "left_semi").select("url")
 

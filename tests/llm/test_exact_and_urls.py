@@ -54,6 +54,20 @@ def test_url_forms(spark):
     }
 
 
+def test_numbers_beyond_64_bits_are_in_no_list(spark, tmp_path):
+    import duckdb
+
+    urls = ["http://a.org/es/99999999999999999999", "http://a.org/es/9223372036854775807", "http://a.org/es/7", "http://a.org/es/8", "http://b.org/x?u=/fr/9223372036854775808", "http://b.org/es/", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(7, 0, 0), (8, 1, 0), (9223372036854775807, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    c = duckdb.connect()
+    for t in ("pages", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    out = url_filter.op4_url_filter(spark, str(tmp_path))
+    same(out, c.sql(url_filter.SQL))
+    assert {r.page_id for r in out.collect() if r.verdict == "block"} == {1, 2}
+
+
 def test_no_false_negative_in_a_full_filter(spark):
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/"), F.col("id").cast("string")).alias("url"))
     listed = pages.filter("page_id % 3 = 0").select("url")
