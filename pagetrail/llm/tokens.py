@@ -2,8 +2,8 @@
 
 Byte-level pre-tokens never reach across a single space or line break between visible characters:
 the space opens the next pre-token and the break is one of its own. So a text of words with single
-separators is encoded word by word, and each distinct word only once in a while; any other text is
-encoded as it is. Both ways give the same ids.
+separators is encoded word by word, and each distinct word only once in a while; any other text, and
+one that holds the string of an added token, is encoded as it is. Both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ _ENCODERS: dict[str, "LibraryWords"] = {}
 class WordMemo:
     """Needs whole(text) and many(words, lead): the ids of a text, and of each word after lead."""
 
+    #: Strings that are tokens wherever they stand: a text that holds one is encoded as it is.
+    added: tuple[str, ...] = ()
+
     def __init__(self, remembered: int = REMEMBERED):
         self.first, self.later, self.remembered = {}, {}, remembered
         self.newline = self.whole("\n")
@@ -36,6 +39,9 @@ class WordMemo:
         for w in new[max(0, self.remembered - (len(known) - len(new))) :]:
             del known[w]
 
+    def lines(self, text: str | None) -> list[list[str]] | None:
+        return None if text and any(a in text for a in self.added) else lines_of(text)
+
     def all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn; null counts as empty.
 
@@ -44,14 +50,14 @@ class WordMemo:
         """
         first, later = set(), set()
         for text in texts:
-            for words in lines_of(text) or ():
+            for words in self.lines(text) or ():
                 first.add(words[0])
                 later.update(words[1:])
         new_first, new_later = self.learn(self.first, first, ""), self.learn(self.later, later, " ")
         del first, later
         one, more = self.first.__getitem__, self.later.__getitem__
         for text in texts:
-            lines = lines_of(text)
+            lines = self.lines(text)
             if lines is None:
                 yield self.whole(text) if text else b""
             else:
@@ -72,14 +78,21 @@ def lines_of(text: str | None) -> list[list[str]] | None:
 
 
 class LibraryWords(WordMemo):
-    """By the tokenizers library; many words go in one call, apart by line breaks."""
+    """By the tokenizers library; many words go in one call, apart by line breaks.
+
+    special: the strings of added tokens in a text are those tokens, which is the library's own
+    setting; else they are ordinary text.
+    """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        if special:
+            self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        else:
+            self.tokenizer.encode_special_tokens = True
         super().__init__(remembered)
 
     def whole(self, text: str) -> bytes:
@@ -95,7 +108,7 @@ class LibraryWords(WordMemo):
 
 
 def encoder(path: str) -> LibraryWords:
-    """The worker's encoder of that vocabulary; it lives as long as the worker."""
+    """The worker's encoder of that vocabulary, added tokens among it; it lives as long as the worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = LibraryWords(path)
+        _ENCODERS[path] = LibraryWords(path, special=True)
     return _ENCODERS[path]

@@ -44,6 +44,22 @@ def test_words_are_the_whole(texts, library):
             assert np.frombuffer(ids, "<u4").tolist() == library(text)
 
 
+def test_added_tokens_are_those_of_the_plain_call(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON)
+    texts = ["a b c", "a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext|>\nb <|endoftext|>", "a  <|endoftext|>", "<|endoftext |> a", "d e"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[1] == [64, 220, 50256, 275]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(JSON).all(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = token_files.read_files(token_files.write_files(docs, f"file://{tmp_path}/t", JSON), with_ids=True).orderBy("doc_id").collect()
+    assert [r.ids for r in rows] == [[*ids, 0] for ids in want]
+    assert [r.start for r in rows] == np.cumsum([0, *(len(ids) + 1 for ids in want[:-1])]).tolist()
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs, JSON).collect()}
+    assert packed == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for i, ids in enumerate(want)}
+
+
 def test_bpe(texts, reference):
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN, remembered=500)
     rng = random.Random(1)
