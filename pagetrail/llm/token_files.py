@@ -11,7 +11,7 @@ ids and of coded bytes; documents with id and number of tokens); its length and
 the documents of one range of ids in ascending order, so files in order give the whole corpus.
 
 Defined results: null and empty texts are the end id alone; null ids come first; rows that share an
-id are ordered by text; an empty table gives no rows; columns besides id and text are not read.
+id are ordered by text; an id of a token over 65,535 is an error when it is written; an empty table gives no rows; columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,11 +33,11 @@ from pagetrail.llm.warc_zip import opened
 
 MAGIC, END_ID = b"TOKIDS01", 0
 #: Lanes that a group should have, most tokens of a block, most tokens of a group (bounds the memory).
-LANES, MOST, GROUP = 4096, 8192, 1 << 23
+LANES, MOST, GROUP = 1024, 8192, 1 << 23
 #: Nodes of the tree of digits; those of the last digit share FOLDED places, which ids under 16 * FOLDED have to themselves.
-FOLDED = 256
+FOLDED = 512
 NODES, STARTS, TOP = 1 + 16 + 256 + FOLDED, (0, 1, 17, 273), 1 << 12
-CONTEXTS = (1 << 8, 1 << 10)
+CONTEXTS = (1 << 11, 1 << 13)
 STEP, LEAST, MASK = 16, np.uint32(1 << 16), np.uint32((1 << 32) - 1)
 _12, _16 = np.uint32(12), np.uint32(16)
 
@@ -243,6 +243,8 @@ class Writer:
         ids, rest = joined[:most], joined[most:]
         self.waiting, self.size = [rest.tobytes()], len(rest)
         if len(ids):
+            if ids.max() > 0xFFFF:
+                raise ValueError("an id takes more than 16 bits")
             block = block_size(len(ids))
             coded = encode(ids.astype(np.int64), block)
             sums = [zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) for i in range(len(coded))]

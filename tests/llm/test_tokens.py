@@ -99,6 +99,18 @@ def test_coder_learns_repeats():
     assert sum(map(len, token_files.encode(ids, 4096))) * 8 / len(ids) < 3
 
 
+def test_coder_learns_contexts_of_a_large_vocabulary():
+    ids = np.tile(np.random.default_rng(1).permutation(50_257)[:1000], 8)
+    assert sum(map(len, token_files.encode(ids, 8192))) * 8 / len(ids) < 6
+    assert token_files.block_size(2_500_000) == 4096 and token_files.block_size(token_files.GROUP) == token_files.MOST
+
+
+def test_ids_beyond_16_bits_are_refused():
+    assert written([(1, [65_535])])
+    with pytest.raises(ValueError):
+        written([(1, [3, 65_536])])
+
+
 class Bytes:
     def __init__(self, data):
         self.data = data
