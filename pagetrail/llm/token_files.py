@@ -297,7 +297,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
 
         words, end, writer = encoder(tokenizer), end_id.to_bytes(4, "little"), None
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.all(batch.column(1).to_pylist()), strict=False):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.all(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
                     uri = f"{folder}/{uuid.uuid4().hex}.tokens"
                     fs, path = opened(uri)

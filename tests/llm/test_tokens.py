@@ -158,6 +158,33 @@ def test_token_files_odd_rows(spark, tmp_path, library):
     assert token_files.read_files(token_files.write_files(docs.limit(0), f"file://{tmp_path}/e", JSON)).count() == 0
 
 
+def test_writing_forgets_words_beyond_those_remembered(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    class Rows:
+        sparkSession = spark
+
+        def same(self, *_):
+            return self
+
+        select = repartitionByRange = sortWithinPartitions = same
+
+        def mapInArrow(self, run, _):
+            return run
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    words = tokens.LibraryWords(JSON, remembered=3, special=True)
+    monkeypatch.setattr(token_files, "TaskContext", Task)
+    monkeypatch.setattr(token_files, "encoder", lambda _: words)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b c d e f g", "h i j k l m n"]})
+    (made,) = token_files.write_files(Rows(), f"file://{tmp_path}/t", JSON)([batch])
+    assert made.column(3).to_pylist() == [2]
+    assert len(words.first) <= 3 and len(words.later) <= 3
+
+
 def check_runs(counts, capacity):
     runs, seen, content = packing.best_fit(counts, capacity), set(), {}
     for length, a, b, sequence, offset in runs:
