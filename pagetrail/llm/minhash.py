@@ -4,7 +4,7 @@ Signatures are cut into bands; equal bands make candidates. Candidates are gathe
 groups, not as pairs: a bucket links each member to its smallest one, and what hangs together that
 way is compared in one task, or chunk by chunk in several where a group is large. A task takes the
 pairs that share a band, compares their signatures batch by batch, and drops a pair as soon as the
-posterior probability that its similarity reaches the threshold is under `miss`. Survivors are
+posterior probability that its similarity reaches the threshold is under a batch's part of `miss`. Survivors are
 verified exactly on their full shingle sets, the likeliest first, unless they hang together already.
 Only links leave the task, fewer than there are documents in it.
 
@@ -13,7 +13,7 @@ missed by the bands with probability `miss` at most, and by the pruning with `mi
 
 Defined results: null and empty texts, and those of white space, have no shingles and link with
 nothing; with fewer words than a shingle has, the whole sequence is the one shingle; a null id links
-with nothing; repeated rows are equal sets; an empty table gives an empty result; other columns are
+with nothing; repeated rows are equal sets; rows that share an id but not a text each link by their own; an empty table gives an empty result; other columns are
 not read by `near_links` and carried along by `near_dedup`.
 """
 
@@ -79,12 +79,15 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def least_matches(hashes: int, similarity: float, miss: float = MISS) -> list[tuple[int, int]]:
     """(hashes compared, matches needed to go on) after each batch of a signature.
 
-    With a uniform prior, P(similarity >= t | m of n match) = P(Binomial(n + 1, t) <= m).
+    With a uniform prior, P(similarity >= t | m of n match) = P(Binomial(n + 1, t) <= m). A pair at t has
+    m of n at most with a probability up to 1 / (1 - t) times that, and may be dropped by every batch:
+    each gets such a part of `miss` that all of them together stay under it.
     """
-    out = []
-    for n in range(4 * ROWS, hashes + 1, 4 * ROWS):
+    out, batches = [], range(4 * ROWS, hashes + 1, 4 * ROWS)
+    part = miss * (1 - similarity) / max(1, len(batches))
+    for n in batches:
         total, m = 0.0, -1
-        while total < miss:
+        while total < part:
             m += 1
             total += math.comb(n + 1, m) * similarity**m * (1 - similarity) ** (n + 1 - m)
         out.append((n, m))
@@ -159,7 +162,7 @@ def near_links(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id"
     sketched = written(rows.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
     classes = written(sketched.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketched.join(classes, (sketched["set_key"] == classes["set_key"]) & (sketched["doc_id"] == classes["rep"]), "left_semi")
-    posted = written(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")), "bands")
+    posted = written(reps.dropDuplicates(["set_key"]).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")), "bands")
     buckets = posted.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("key", "least")
     stars = posted.join(buckets, "key").filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     groups = written(components(stars), "groups")
@@ -177,7 +180,7 @@ def near_links(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id"
         import pyarrow as pa
 
         def links(group, key):
-            ids, sides, texts_ = zip(*{row[0]: row for row in group}.values(), strict=True)
+            ids, sides, texts_ = zip(*{(row[0], row[2]): row for row in group}.values(), strict=True)
             return linked(list(ids), list(texts_), list(sides), key[1] != key[2], words, percent, hashes)
 
         key, group = None, []

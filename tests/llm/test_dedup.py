@@ -79,6 +79,15 @@ def test_near_odd_rows(spark):
     assert minhash.near_links(docs.limit(0), 3, 85).count() == 0
 
 
+def test_near_links_of_each_text_of_an_id(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.random()}" for _ in range(100)) for _ in range(3)]
+    rows = [(1, t) for t in texts] + [(k, t + " end") for k, t in enumerate(texts, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_links(docs, 3, 85).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1)]
+
+
 def test_op6(spark, small):
     docs = table(spark, small, "documents").orderBy("doc_id").collect()
     want, _ = linked_by_brute_force([d.doc_id for d in docs], [d.text for d in docs], 3, 85)
@@ -90,6 +99,14 @@ def test_posterior_bounds_keep_true_pairs():
         assert np.random.default_rng(n).binomial(n, 0.85, 200_000).min() >= least - 1
 
 
+@pytest.mark.parametrize("hashes,t", [(120, 0.85), (180, 0.80)])
+def test_pruning_misses_no_more_than_stated(hashes, t):
+    from math import comb
+
+    dropped = sum(comb(n, m) * t**m * (1 - t) ** (n - m) for n, least in minhash.least_matches(hashes, t) for m in range(least))
+    assert dropped <= minhash.MISS
+
+
 def removed_by_brute_force(texts, length):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(raw[i : i + length] for raw in raws for i in range(len(raw) - length + 1))
