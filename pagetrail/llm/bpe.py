@@ -6,8 +6,8 @@ use, so that find-first-set gives the lowest rank in three steps whatever the le
 parts have since been merged away is stale and skipped when it comes up. A merge takes a few steps,
 which suits pre-tokens of any length.
 
-Texts are split by the pattern; a word between single separators is merged once and remembered by
-the worker.
+Texts are split by the pattern, after Arrow has cut them into segments that the pattern never joins;
+each distinct segment of a piece is merged once.
 
 Defined results: null text counts as empty, which has no ids; special tokens are ordinary text; equal
 texts give equal ids; an empty table gives an empty result; columns besides id and text are not read.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail.llm.shared import TOKENIZER_RANKS, table
-from pagetrail.llm.tokens import REMEMBERED, WordMemo
+from pagetrail.llm.tokens import REMEMBERED, Segments
 
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 
@@ -102,56 +102,43 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def spelled(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
-    """The strings of the ids one after the other; table: all strings joined, their starts and lengths."""
-    flat, starts, sizes = table
-    size = sizes[ids]
-    ends = np.cumsum(size)
-    if not len(ids):
-        return b""
-    return flat[np.repeat(starts[ids] - ends + size, size) + np.arange(ends[-1])].tobytes()
+class Codec(Segments):
+    """ids() and many() encode; decode() and decimal() give the strings of ids, one after the other."""
 
-
-def spelling(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(s) for s in strings], np.int64)
-    return np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes, sizes
-
-
-class Codec(WordMemo):
     def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
+        import pyarrow as pa
         import regex
 
+        super().__init__(remembered)
         self.ranks, self.pieces = read_ranks(path), regex.compile(pattern).findall
         strings = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             strings[rank] = token
-        self.tokens, self.decimals = spelling(strings), spelling([b"%d " % k for k in range(len(strings))])
-        self.known: dict[str, list[int]] = {}
-        super().__init__(remembered)
+        self.strings, self.decimals = pa.array(strings, pa.large_binary()), pa.array([b"%d " % k for k in range(len(strings))], pa.large_binary())
 
-    def ids(self, text: str) -> list[int]:
+    def many(self, segments: list[bytes]) -> list[bytes]:
         out = []
-        for piece in self.pieces(text):
-            ids = self.known.get(piece)
-            if ids is None:
-                ids = merged(piece.encode("utf-8", "replace"), self.ranks)
-                if len(self.known) < self.remembered and len(piece) < 64:
-                    self.known[piece] = ids
-            out += ids
+        for s in segments:
+            ids = array("I")
+            for piece in self.pieces(s.decode("utf-8", "replace")):
+                ids.extend(merged(piece.encode(), self.ranks))
+            out.append(ids.tobytes())
         return out
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.ids(text)).tobytes()
+    def decode(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """(bytes of all ids, where those of each begin and the last one's end)."""
+        return spelled(ids, self.strings)
+
+    def decimal(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """Decimal ids, a space after each."""
+        return spelled(ids, self.decimals)
 
-    def many(self, words: list[str], lead: str) -> list[bytes]:
-        return [self.whole(lead + w) for w in words]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return spelled(ids, self.tokens)
+def spelled(ids: np.ndarray, strings) -> tuple[memoryview, np.ndarray]:
+    import pyarrow as pa
 
-    def decimal(self, ids: np.ndarray) -> bytes:
-        """Decimal ids joined by one space."""
-        return spelled(ids, self.decimals)[:-1]
+    taken = strings.take(pa.array(ids))
+    return memoryview(taken.buffers()[2] or b""), np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1]
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -168,9 +155,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         import pyarrow as pa
 
         own = codec(path, pattern)
-        for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in own.all(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for piece, ids, ends in own.over(batches):
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([piece.column(0), lists], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -183,7 +170,7 @@ def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
         own = codec(path, pattern)
         for batch in batches:
-            out = [own.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
+            out = [bytes(own.decode(np.array(x or [], np.uint32))[0]) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
@@ -196,13 +183,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         import pyarrow as pa
 
         own = codec(path, pattern)
-        for batch in batches:
+        for piece, ids, ends in own.over(batches):
+            (text, text_at), (said, said_at) = own.decode(ids), own.decimal(ids)
             out = []
-            for data in own.all(batch.column(1).to_pylist()):
-                ids = np.frombuffer(data, "<u4")
-                out.append((len(ids), hashlib.sha256(own.decimal(ids)).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                decimals = said[said_at[a] : max(said_at[a], said_at[b] - 1)]
+                out.append((b - a, hashlib.sha256(decimals).hexdigest(), hashlib.sha256(text[text_at[a] : text_at[b]]).hexdigest()))
             n, a, b = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

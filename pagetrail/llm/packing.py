@@ -18,6 +18,7 @@ import bisect
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,12 +44,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
         words, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = end_id.to_bytes(4, "little")
-        for batch in batches:
-            out = []
-            for row_id, ids in zip(batch.column(0).to_pylist(), words.all(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    out.append((row_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, seen[length]))
+        for batch, flat, ends in words.over(batches):
+            out, data = [], memoryview(flat.view(np.uint8))
+            for row_id, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                n = b - a + 1  # with the end id
+                for piece, (start, length) in enumerate(cut(n, capacity)):
+                    crc = zlib.crc32(data[4 * (a + start) : 4 * min(a + start + length, b)])
+                    out.append((row_id, piece, start, length, crc if start + length < n else zlib.crc32(end, crc), task, seen[length]))
                     seen[length] += 1
             columns = list(zip(*out, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())

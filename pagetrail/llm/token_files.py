@@ -1,14 +1,10 @@
-"""Token-id files: an adaptive context-mixing range coder in independent, checksummed blocks.
+"""Token-id files: ids coded by context mixing in independent, checksummed blocks.
 
-Three models predict an id: order 0, counts in a tree of four 16-way digits; order 1 and order 2, the
-id that last followed the same one or two ids, with a confidence. Their mixture weights start at the
-hit rates seen so far at that confidence and are updated by Bayes' rule after every digit; the
-mixture drives a range coder with 32-bit state. Every block starts all models anew, and blocks are
-coded side by side, one numpy lane each, so a step codes one digit of hundreds of blocks.
-
-File: MAGIC; groups of blocks; a zlib-packed JSON directory (groups, blocks with size, checksums of
-ids and of coded bytes; documents with id and number of tokens); its length and crc32. A file holds
-the documents of one range of ids in ascending order, so files in order give the whole corpus.
+File: MAGIC; groups, each its prior (zlib: distinct ids and levels of frequency) and its coded blocks; a
+zlib-packed JSON directory (groups, blocks with size, checksums of ids and of coded bytes; documents
+with id and number of tokens); its length and crc32. A block is decoded from itself and its group's
+prior (`mixing.py`). A file holds documents of one range of ids in ascending order and ends after
+about `FILE` tokens, so files in the order of part and number give the whole corpus.
 
 Defined results: null and empty texts are the end id alone; null ids come first; rows that share an
 id are ordered by text; an id of a token over 65,535 is an error when it is written; an empty table gives no rows; columns besides id and text are not read.
@@ -27,192 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagetrail.llm.batches import give_back
+from pagetrail.llm.mixing import Prior, decode, encode, levels_of
 from pagetrail.llm.shared import TOKENIZER_JSON, fresh_path, table, written
 from pagetrail.llm.tokens import encoder
 from pagetrail.llm.warc_zip import opened
 
-MAGIC, END_ID = b"TOKIDS01", 0
-#: Lanes that a group should have, most tokens of a block, most tokens of a group (bounds the memory).
-LANES, MOST, GROUP = 1024, 8192, 1 << 23
-#: Nodes of the tree of digits; those of the last digit share FOLDED places, which ids under 16 * FOLDED have to themselves.
-FOLDED = 512
-NODES, STARTS, TOP = 1 + 16 + 256 + FOLDED, (0, 1, 17, 273), 1 << 12
-CONTEXTS = (1 << 11, 1 << 13)
-STEP, LEAST, MASK = 16, np.uint32(1 << 16), np.uint32((1 << 32) - 1)
-_12, _16 = np.uint32(12), np.uint32(16)
-
-
-class Models:
-    """The three models of each lane. `weights` and `digits` of orders 1 and 2 are those of the id being coded."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.base, self.flat = self.lane * NODES, self.lane * 16
-        self.counts = np.ones((lanes * NODES, 16), np.uint8)
-        self.counts[self.lane * NODES] = 1 + 15 // (1 + np.arange(16))  # low ids are the frequent ones
-        self.cells = self.counts.reshape(-1)
-        self.guess = [np.zeros(lanes * n, np.uint16) for n in CONTEXTS]
-        self.sure = [np.zeros(lanes * n, np.int8) for n in CONTEXTS]
-        self.hits = [np.full(lanes * 8, 0.25, np.float32) for _ in CONTEXTS]
-        self.last = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
-
-    def narrow(self, lanes: int) -> None:
-        self.lane, self.base, self.flat = self.lane[:lanes], self.base[:lanes], self.flat[:lanes]
-        self.last = [x[:lanes] for x in self.last]
-
-    def begin(self) -> None:
-        a, b = self.last
-        at = ((a * 40_503 >> 5) & CONTEXTS[0] - 1, ((a * 40_503 + b * 60_493) >> 3) & CONTEXTS[1] - 1)
-        self.at = [self.lane * n + x for n, x in zip(CONTEXTS, at, strict=True)]
-        self.id = [g.take(x).astype(np.int64) for g, x in zip(self.guess, self.at, strict=True)]
-        self.level = [s.take(x) for s, x in zip(self.sure, self.at, strict=True)]
-        rate = [np.where(v > 0, h[self.lane * 8 + v], np.float32(0)) for h, v in zip(self.hits, self.level, strict=True)]
-        self.weight = [rate[0] * (1 - rate[1]), rate[1]]
-        self.prefix = np.zeros(len(self.lane), np.int64)
-
-    def digit(self, k: int) -> None:
-        self.row = self.base + (STARTS[k] + (self.prefix & FOLDED - 1))
-        self.c = self.counts.take(self.row, axis=0)
-        self.sums = self.c.astype(np.float32) @ _UPTO  # whole numbers, so exact
-        self.share, self.alive = [], []
-        own = _OWN
-        for w in self.weight:  # lanes where that order still has a say: few after the first digit
-            some = np.flatnonzero(w)
-            share = np.floor(np.minimum(w.take(some), _MOST_SHARE) * _SHARES)
-            self.share.append(share)
-            self.alive.append(some)
-            if len(some):
-                own = np.full(len(self.lane), _OWN) if own is _OWN else own
-                own[some] -= share
-        self.scale = own / self.sums[:, 15]
-        self.shift = 12 - 4 * k
-
-    def range_of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of digit s, out of TOP."""
-        at = self.flat + s
-        self.own, upto = self.c.take(at), self.sums.take(at)
-        low, high = np.floor((upto - self.own) * self.scale), np.floor(upto * self.scale)
-        start, self.size = s.astype(np.float32) + low, _ONE + high - low
-        self.right = []
-        for x, part, some in zip(self.id, self.share, self.alive, strict=True):
-            said, digit = x.take(some) >> self.shift & 15, s.take(some)
-            start[some] += part * (said < digit)
-            right = part * (said == digit)
-            self.size[some] += right
-            self.right.append(right)
-        return start.astype(np.int32).view(np.uint32), self.size.astype(np.int32).view(np.uint32)
-
-    def find(self, place: np.ndarray) -> np.ndarray:
-        """The digit whose range holds place."""
-        ends = np.floor(self.sums * self.scale[:, None]) + _ONE_TO_16
-        for x, share, some in zip(self.id, self.share, self.alive, strict=True):
-            ends[some] += share[:, None] * _FROM.take(x.take(some) >> self.shift & 15, axis=0)
-        under = np.bitwise_count((ends <= place.astype(np.float32)[:, None]).view(np.uint64))
-        return np.minimum(under[:, 0] + under[:, 1], 15).astype(np.int64)
-
-    def told(self, s: np.ndarray) -> None:
-        for weight, right, some in zip(self.weight, self.right, self.alive, strict=True):
-            weight[some] = right / self.size.take(some)
-        full = np.flatnonzero(self.own > 255 - STEP)
-        if len(full):
-            self.counts[self.row[full]] = (self.c[full] >> 1) + 1
-            self.own[full] = (self.own[full] >> 1) + 1
-        self.cells[self.row * 16 + s] = self.own + np.uint8(STEP)
-        self.prefix = self.prefix * 16 + s
-
-    def end(self) -> None:
-        for k in range(2):
-            hit, at, level = self.id[k] == self.prefix, self.at[k], self.level[k]
-            rate = self.lane * 8 + level
-            self.hits[k][rate] += (hit - self.hits[k][rate]) * np.float32(0.04)
-            self.sure[k][at] = np.where(hit, np.minimum(level + 1, 7), np.maximum(level >> 1, 1))
-            self.guess[k][at] = np.where(hit | (level > 1), self.id[k], self.prefix)
-        self.last = [self.prefix, self.last[0]]
-
-
-#: All of single precision: the same on either side, and whole numbers up to TOP are exact.
-_ONE, _OWN, _MOST_SHARE, _SHARES = np.float32(1), np.float32(TOP - 16), np.float32(0.49), np.float32(4_000)
-_UPTO = np.triu(np.ones((16, 16), np.float32))
-_FROM, _ONE_TO_16 = np.triu(np.ones((16, 16), np.float32)), np.arange(1, 17, dtype=np.float32)
-
-
-def _lanes(n: int, block: int) -> Iterator[tuple[int, int]]:
-    """(step, lanes at work): all blocks are full but for the last."""
-    whole, rest = divmod(n, block)
-    for step in range(min(n, block)):
-        yield step, whole + (step < rest)
-
-
-def encode(ids: np.ndarray, block: int) -> list[bytes]:
-    """The coded blocks of so many ids each."""
-    lanes = -(-len(ids) // block)
-    table_ = np.zeros((lanes, block), np.int64)
-    table_.reshape(-1)[: len(ids)] = ids
-    table_ = np.ascontiguousarray(table_.T)
-    models, low, span = Models(lanes), np.zeros(lanes, np.uint32), np.full(lanes, MASK)
-    out, used = np.zeros((lanes, min(len(ids), block) * 4 + 4), np.uint16), np.zeros(lanes, np.int64)
-    for step, active in _lanes(len(ids), block):
-        if active < len(models.lane):
-            models.narrow(active)
-        lane, token = models.lane, table_[step, :active]
-        models.begin()
-        for k in range(4):
-            s = token >> 12 - 4 * k & 15
-            models.digit(k)
-            start, size = models.range_of(s)
-            unit = span[:active] >> _12
-            at, wide = low[:active] + unit * start, unit * size
-            over = np.flatnonzero(at < low[:active])
-            if len(over):  # a carry runs back into what is written
-                back = used[over] - 1
-                while len(over):
-                    out[over, back] += np.uint16(1)
-                    on = out[over, back] == 0
-                    over, back = over[on], back[on] - 1
-            shift = np.flatnonzero(wide < LEAST)
-            if len(shift):
-                top = at[shift]
-                out[shift, used[shift]] = (top >> _16).astype(np.uint16)
-                used[shift] += 1
-                at[shift] = top << _16
-                wide[shift] <<= _16
-            low[:active], span[:active] = at, wide
-            models.told(s)
-        models.end()
-    for move in (16, 0):
-        out[np.arange(lanes), used] = (low >> np.uint32(move)).astype(np.uint16)
-        used += 1
-    return [out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes)]
-
-
-def decode(blocks: list[bytes], n: int, block: int) -> np.ndarray:
-    """The n ids of blocks that encode() made."""
-    lanes = len(blocks)
-    words = np.zeros((lanes, max(map(len, blocks)) // 2 + 4), np.uint16)
-    for i, b in enumerate(blocks):
-        words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    code, used = words[:, 0].astype(np.uint32) << _16 | words[:, 1], np.full(lanes, 2)
-    models, span, table_ = Models(lanes), np.full(lanes, MASK), np.zeros((min(n, block), lanes), np.int64)
-    for step, active in _lanes(n, block):
-        if active < len(models.lane):
-            models.narrow(active)
-        models.begin()
-        for k in range(4):
-            models.digit(k)
-            unit = span[:active] >> _12
-            s = models.find(code[:active] // unit)
-            start, size = models.range_of(s)
-            rest, wide = code[:active] - unit * start, unit * size
-            shift = np.flatnonzero(wide < LEAST)
-            if len(shift):
-                rest[shift] = rest[shift] << _16 | words[shift, used[shift]].astype(np.uint32)
-                used[shift] += 1
-                wide[shift] <<= _16
-            code[:active], span[:active] = rest, wide
-            models.told(s)
-        models.end()
-        table_[step, :active] = models.prefix
-    return np.ascontiguousarray(table_.T).reshape(-1)[:n]
+MAGIC, END_ID = b"TOKIDS02", 0
+#: Lanes that a group should have, most tokens of a block, of a group (bounds the memory) and of a file.
+LANES, MOST, GROUP, FILE = 1024, 2048, 1 << 23, 1 << 26
 
 
 def block_size(n: int) -> int:
@@ -220,42 +39,56 @@ def block_size(n: int) -> int:
     return min(MOST, max(512, 1 << (max(1, n // LANES) - 1).bit_length()))
 
 
+def packed_prior(ids: np.ndarray) -> bytes:
+    counts = np.bincount(ids)
+    known = np.flatnonzero(counts)
+    return zlib.compress(np.diff(known, prepend=0).astype("<u2").tobytes() + levels_of(counts[known]).tobytes(), 9)
+
+
+def unpacked_prior(data: bytes) -> Prior:
+    raw = zlib.decompress(data)
+    n = len(raw) // 3
+    return Prior(np.cumsum(np.frombuffer(raw, "<u2", n), dtype=np.int64), np.frombuffer(raw, np.uint8, n, 2 * n))
+
+
 class Writer:
     """Writes groups as they fill up; close() adds the directory."""
 
     def __init__(self, f):
-        self.f, self.at, self.groups, self.docs, self.waiting, self.size = f, 0, [], [], [], 0
+        self.f, self.at, self.groups, self.ids, self.sizes, self.waiting, self.size, self.tokens = f, 0, [], [], [], [], 0, 0
         self.put(MAGIC)
 
     def put(self, data: bytes) -> None:
         self.f.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((doc_id, len(ids) // 4))
-        self.waiting.append(ids)
-        self.size += len(ids) // 4
+    def add(self, doc_ids: list[int | None], sizes: list[int], tokens: np.ndarray) -> None:
+        """Documents with so many of the tokens each."""
+        self.ids += doc_ids
+        self.sizes += sizes
+        self.waiting.append(tokens)
+        self.size += len(tokens)
+        self.tokens += len(tokens)
         while self.size >= GROUP:
             self.flush(GROUP)
 
     def flush(self, most: int) -> None:
-        joined = np.frombuffer(b"".join(self.waiting), "<u4")
-        ids, rest = joined[:most], joined[most:]
-        self.waiting, self.size = [rest.tobytes()], len(rest)
+        joined = np.concatenate([np.zeros(0, np.uint32), *self.waiting])
+        ids, rest = joined[:most].astype("<u4"), joined[most:]
+        self.waiting, self.size = [rest.copy()], len(rest)
         if len(ids):
             if ids.max() > 0xFFFF:
                 raise ValueError("an id takes more than 16 bits")
-            block = block_size(len(ids))
-            coded = encode(ids.astype(np.int64), block)
+            block, prior = block_size(len(ids)), packed_prior(ids)
+            coded = encode(ids, block, unpacked_prior(prior))
             sums = [zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) for i in range(len(coded))]
-            self.groups.append({"offset": self.at, "tokens": len(ids), "block": block, "sizes": [len(c) for c in coded], "ids_crc32": sums, "crc32": [zlib.crc32(c) for c in coded]})
-            self.put(b"".join(coded))
+            self.groups.append({"offset": self.at, "tokens": len(ids), "block": block, "prior": len(prior), "prior_crc32": zlib.crc32(prior), "sizes": [len(c) for c in coded], "ids_crc32": sums, "crc32": [zlib.crc32(c) for c in coded]})
+            self.put(b"".join([prior, *coded]))
 
-    def close(self) -> int:
+    def close(self) -> None:
         self.flush(GROUP)
-        packed = zlib.compress(json.dumps({"groups": self.groups, "docs": list(zip(*self.docs, strict=True)) or [[], []]}).encode())
+        packed = zlib.compress(json.dumps({"groups": self.groups, "docs": [self.ids, self.sizes]}).encode())
         self.put(packed + struct.pack("<II", len(packed), zlib.crc32(packed)))
-        return sum(g["tokens"] for g in self.groups)
 
 
 def read_file(f, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -268,13 +101,16 @@ def read_file(f, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
     docs, parts, have = zip(*directory["docs"], strict=True), [], 0
     doc_id, want = next(docs, (None, None))
     for group in directory["groups"]:
-        raw, at, coded = f.read_at(sum(group["sizes"]), group["offset"]), 0, []
+        raw, at, coded = f.read_at(group["prior"] + sum(group["sizes"]), group["offset"]), group["prior"], []
+        if zlib.crc32(raw[:at]) != group["prior_crc32"]:
+            raise ValueError("broken prior")
+        prior = unpacked_prior(raw[:at])
         for n, crc in zip(group["sizes"], group["crc32"], strict=True):
             coded.append(raw[at : at + n])
             if zlib.crc32(coded[-1]) != crc:
                 raise ValueError("broken block")
             at += n
-        ids, block = decode(coded, group["tokens"], group["block"]).astype("<u4"), group["block"]
+        ids, block = decode(coded, group["tokens"], group["block"], prior).astype("<u4"), group["block"]
         for i, crc in enumerate(group["ids_crc32"]):
             if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != crc:
                 raise ValueError("a block does not decode to its ids")
@@ -290,34 +126,42 @@ def read_file(f, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes a file for each range of ids; the manifest: part, uri, tokens, documents, bytes."""
+    """Writes files, each for a range of ids; the manifest: part, number, uri, tokens, documents, bytes."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, end, writer = encoder(tokenizer), end_id.to_bytes(4, "little"), None
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.all(batch.column(1).to_pylist()), strict=True):
-                if writer is None:
-                    uri = f"{folder}/{uuid.uuid4().hex}.tokens"
-                    fs, path = opened(uri)
-                    fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    writer = Writer(fs.open_output_stream(path))
-                writer.add(doc_id, ids + end)
-        if writer:
-            tokens = writer.close()
+        words, number, writer, uri = encoder(tokenizer), 0, None, ""
+
+        def closed():
+            writer.close()
             writer.f.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "uri": [uri], "tokens": pa.array([tokens], pa.int64()), "documents": pa.array([len(writer.docs)], pa.int64()), "bytes": pa.array([writer.at], pa.int64())})
+            columns = {"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "number": pa.array([number], pa.int32()), "uri": [uri]}
+            return pa.RecordBatch.from_pydict(columns | {k: pa.array([v], pa.int64()) for k, v in (("tokens", writer.tokens), ("documents", len(writer.ids)), ("bytes", writer.at))})
+
+        for piece, ids, ends in words.over(batches):
+            if writer is None:
+                uri = f"{folder}/{uuid.uuid4().hex}.tokens"
+                fs, path = opened(uri)
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                writer = Writer(fs.open_output_stream(path))
+            writer.add(piece.column(0).to_pylist(), (np.diff(ends) + 1).tolist(), np.insert(ids, ends[1:], end_id))
+            if writer.tokens >= FILE:
+                yield closed()
+                writer, number = None, number + 1
+        if writer:
+            yield closed()
+        give_back()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ranged.mapInArrow(run, "part int, uri string, tokens long, documents long, bytes long")
+    return ranged.mapInArrow(run, "part int, number int, uri string, tokens long, documents long, bytes long")
 
 
 def read_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids): a row per document, from the files alone."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     placed = written(manifest.select("uri", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start")), "placed")
 
     def run(batches: Iterator) -> Iterator:
@@ -342,6 +186,7 @@ def read_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                             yield made()
                 if out:
                     yield made()
+        give_back()
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartitionByRange(n, "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")

@@ -1,84 +1,114 @@
-"""Token ids of whole texts, as little-endian unsigned 32-bit bytes, word by word.
-
-Byte-level pre-tokens never reach across a single space or line break between visible characters:
-the space opens the next pre-token and the break is one of its own. So a text of words with single
-separators is encoded word by word, and each distinct word only once in a while; any other text, and
-one that holds the string of an added token, is encoded as it is. Both ways give the same ids.
+"""Token ids of whole texts by byte-level BPE, each distinct segment once.
+
+A byte-level pre-token never reaches across a single space or line break between visible characters
+(the space opens the next pre-token, the break is one of its own), nor from an ASCII letter to
+punctuation or back. A piece of texts is cut at those places, its segments are dictionary-encoded by
+Arrow, only segments not seen before are encoded, and the ids of all texts are taken from the
+dictionary. Runs of white space stay inside a segment. Beside white space beyond ASCII nothing is cut,
+and a text that holds the string of an added token is one segment. So the ids are those of the whole
+text.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Words that a worker remembers; those met later are encoded once a batch.
-REMEMBERED = 500_000
-_ENCODERS: dict[str, "LibraryWords"] = {}
-
+from pagetrail.llm.batches import pieces
 
-class WordMemo:
-    """Needs whole(text) and many(words, lead): the ids of a text, and of each word after lead."""
-
-    #: Strings that are tokens wherever they stand: a text that holds one is encoded as it is.
+#: Segments that a worker remembers; those met later are encoded once a piece.
+REMEMBERED = 500_000
+#: White space beyond ASCII.
+STRANGE = r"[\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_VISIBLE, _LETTER, _POINT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_VISIBLE[33:127] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+_POINT[33:127] = ~_LETTER[33:127]
+_POINT[48:58] = _POINT[39] = False  # digits; an apostrophe may belong to the letters after it
+_WIDE = _VISIBLE.copy()
+_WIDE[128:] = True
+_ENCODERS: dict[str, "LibrarySegments"] = {}
+
+
+def segment_starts(data: np.ndarray, ends: np.ndarray, strange: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Places where segments begin in texts one after the other; ends: of the texts, a 0 before them."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    visible = _WIDE[data]
+    for i in np.flatnonzero(strange).tolist():
+        visible[ends[i] : ends[i + 1]] = _VISIBLE[data[ends[i] : ends[i + 1]]]
+    line = data == 10
+    lone = line | (data == 32)
+    lone[1:] &= visible[:-1]
+    lone[:-1] &= visible[1:]
+    start = lone.copy()
+    start[1:] |= (lone & line)[:-1]
+    letter, point = _LETTER[data], _POINT[data]
+    start[1:] |= (letter[:-1] & point[1:]) | (point[:-1] & letter[1:])
+    for i in np.flatnonzero(whole).tolist():
+        start[ends[i] : ends[i + 1]] = False
+    start[ends[:-1][ends[:-1] < ends[1:]]] = True
+    return np.flatnonzero(start)
+
+
+class Segments:
+    """Needs many(segments): the ids of each, as little-endian unsigned 32-bit bytes."""
+
+    #: Strings that are tokens wherever they stand.
     added: tuple[str, ...] = ()
+    #: False: every text is one segment.
+    cuts = True
 
     def __init__(self, remembered: int = REMEMBERED):
-        self.first, self.later, self.remembered = {}, {}, remembered
-        self.newline = self.whole("\n")
-
-    def learn(self, known: dict[str, bytes], words: set[str], lead: str) -> list[str]:
-        new = list(words.difference(known))
+        self.known: dict[bytes, bytes] = {}
+        self.remembered = remembered
+
+    def many(self, segments: list[bytes]) -> list[bytes]:
+        raise NotImplementedError
+
+    def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin and the last one's end); null counts as empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        flags = [pc.match_substring(texts, a) for a in self.added]
+        whole = np.full(len(texts), not self.cuts)
+        for f in flags:
+            whole |= f.to_numpy(zero_copy_only=False)
+        starts = segment_starts(data, ends, pc.match_substring_regex(texts, STRANGE).to_numpy(zero_copy_only=False), whole)
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(data)]), pa.py_buffer(data)]).dictionary_encode()
+        distinct = cut.dictionary.to_pylist()
+        values = list(map(self.known.get, distinct))
+        new = [k for k, v in enumerate(values) if v is None]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            known.update(zip(part, self.many(part, lead), strict=True))
-        return new
-
-    def forget(self, known: dict[str, bytes], new: list[str]) -> None:
-        for w in new[max(0, self.remembered - (len(known) - len(new))) :]:
-            del known[w]
-
-    def lines(self, text: str | None) -> list[list[str]] | None:
-        return None if text and any(a in text for a in self.added) else lines_of(text)
-
-    def all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text in turn; null counts as empty.
-
-        The words of all texts are learned first, so each costs one call however often it comes; the
-        texts are split again then, as lists of all their words would take several times their room.
-        """
-        first, later = set(), set()
-        for text in texts:
-            for words in self.lines(text) or ():
-                first.add(words[0])
-                later.update(words[1:])
-        new_first, new_later = self.learn(self.first, first, ""), self.learn(self.later, later, " ")
-        del first, later
-        one, more = self.first.__getitem__, self.later.__getitem__
-        for text in texts:
-            lines = self.lines(text)
-            if lines is None:
-                yield self.whole(text) if text else b""
-            else:
-                yield self.newline.join([one(words[0]) + b"".join(map(more, words[1:])) for words in lines])
-        self.forget(self.first, new_first)
-        self.forget(self.later, new_later)
-
-
-def lines_of(text: str | None) -> list[list[str]] | None:
-    """The words of each line, or null where other white space than single spaces and breaks stands between them."""
-    lines = []
-    for line in (text or "").split("\n"):
-        words = line.split()
-        if not words or " ".join(words) != line:
-            return None
-        lines.append(words)
-    return lines
-
-
-class LibraryWords(WordMemo):
-    """By the tokenizers library; many words go in one call, apart by line breaks.
+            segments = [distinct[k] for k in part]
+            for k, s, v in zip(part, segments, self.many(segments), strict=True):
+                values[k] = v
+                if len(self.known) < self.remembered and len(s) < 64:
+                    self.known[s] = v
+        taken = pa.array(values, pa.large_binary()).take(cut.indices)
+        ids = np.frombuffer(taken.buffers()[2] or b"", "<u4")
+        at = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] // 4
+        return ids[: at[-1]], at[np.searchsorted(starts, ends)]
+
+    def over(self, batches: Iterator, column: int = 1) -> Iterator:
+        """(piece of a record batch, ids, ends) for all rows of the batches."""
+        for piece in pieces(batches, column):
+            yield (piece, *self.ids(piece.column(column)))
+
+
+class LibrarySegments(Segments):
+    """By the tokenizers library.
 
     special: the strings of added tokens in a text are those tokens, which is the library's own
     setting; else they are ordinary text.
@@ -93,22 +123,17 @@ class LibraryWords(WordMemo):
             self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         else:
             self.tokenizer.encode_special_tokens = True
+        # only the byte-level pattern is known to keep segments apart
+        self.cuts = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in str(self.tokenizer.pre_tokenizer)
         super().__init__(remembered)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def many(self, words: list[str], lead: str) -> list[bytes]:
-        data = self.whole("\n".join([lead + w for w in words]))
-        ends = np.flatnonzero(np.frombuffer(data, "<u4") == int.from_bytes(self.newline, "little"))
-        if len(ends) != len(words) - 1:
-            raise ValueError("the vocabulary does not keep a line break apart")
-        cuts = [0, *(4 * ends + 4).tolist()]
-        return [data[a:b] for a, b in zip(cuts, [*(4 * ends).tolist(), len(data)], strict=True)]
+    def many(self, segments: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in segments], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
 
-def encoder(path: str) -> LibraryWords:
+def encoder(path: str) -> LibrarySegments:
     """The worker's encoder of that vocabulary, added tokens among it; it lives as long as the worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = LibraryWords(path, special=True)
+        _ENCODERS[path] = LibrarySegments(path, special=True)
     return _ENCODERS[path]

@@ -9,7 +9,9 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from pagetrail.llm import bpe, packing, token_files, tokens
+import pyarrow as pa
+
+from pagetrail.llm import bpe, mixing, packing, token_files, tokens
 from pagetrail.llm.shared import TOKENIZER_JSON, TOKENIZER_RANKS, table
 
 JSON, RANKS = public_tokenizers.path(TOKENIZER_JSON), public_tokenizers.path(TOKENIZER_RANKS)
@@ -37,21 +39,35 @@ def texts(spark, small):
     return [r.text for r in table(spark, small, "documents").collect()] + ODD + [None]
 
 
-def test_words_are_the_whole(texts, library):
-    words = tokens.LibraryWords(JSON, remembered=500)
-    for _ in range(2):  # the second time with some words remembered and some forgotten
-        for text, ids in zip(texts, words.all(texts), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == library(text)
+def lists(own, texts):
+    ids, ends = own.ids(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
+def random_texts(n, more=()):
+    rng = random.Random(1)
+    parts = [" ", "\n", "\t", "a", "b", "'s", "'", ".", "1", "é", "\u00a0", "\u2003", "日", "!!", "\x85", "_", "\r", *more]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_segments_are_the_whole(texts, library):
+    own = tokens.LibrarySegments(JSON, remembered=500)
+    texts = texts + random_texts(3000)
+    want = [library(text) for text in texts]
+    for _ in range(2):  # the second time with some segments remembered
+        assert lists(own, texts) == want
+    assert lists(own, []) == [] and lists(own, [None, ""]) == [[], []] and len(own.known) == 500
+    assert lists(own, [None, "a", *texts, "b"])[2:-1] == want
 
 
 def test_added_tokens_are_those_of_the_plain_call(spark, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(JSON)
-    texts = ["a b c", "a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext|>\nb <|endoftext|>", "a  <|endoftext|>", "<|endoftext |> a", "d e"]
+    texts = ["a b c", "a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext|>\nb <|endoftext|>", "a  <|endoftext|>", "<|endoftext |> a", "d e", *random_texts(500, ["<|endoftext|>"])]
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert want[1] == [64, 220, 50256, 275]
-    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(JSON).all(texts)] == want
+    assert lists(tokens.encoder(JSON), texts) == want
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = token_files.read_files(token_files.write_files(docs, f"file://{tmp_path}/t", JSON), with_ids=True).orderBy("doc_id").collect()
     assert [r.ids for r in rows] == [[*ids, 0] for ids in want]
@@ -60,15 +76,23 @@ def test_added_tokens_are_those_of_the_plain_call(spark, tmp_path):
     assert packed == {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for i, ids in enumerate(want)}
 
 
+def test_other_vocabularies_are_encoded_text_by_text():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = tokens.LibrarySegments(path, special=True)
+    texts = ["Words in  it", "a.b c", ""]
+    assert not own.cuts and lists(own, texts) == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe(texts, reference):
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN, remembered=500)
     rng = random.Random(1)
-    texts = texts + ["".join(rng.choice("abcdefgh ") for _ in range(20_000)), "".join(rng.choice("aab") for _ in range(20_000))]
-    for text, data in zip(texts, codec.all(texts), strict=True):
-        ids = np.frombuffer(data, "<u4")
-        assert ids.tolist() == reference(text or "")
-        assert codec.decode(ids) == (text or "").encode()
-        assert codec.decimal(ids).decode() == " ".join(map(str, ids.tolist()))
+    texts = texts + ["".join(rng.choice("abcdefgh ") for _ in range(20_000)), "".join(rng.choice("aab") for _ in range(20_000)), *random_texts(3000)]
+    for text, ids in zip(texts, lists(codec, texts), strict=True):
+        assert ids == reference(text or "")
+        assert bytes(codec.decode(np.array(ids, np.uint32))[0]) == (text or "").encode()
+        assert bytes(codec.decimal(np.array(ids, np.uint32))[0]).decode() == "".join(f"{i} " for i in ids)
 
 
 def test_op7(spark, small, reference):
@@ -87,22 +111,43 @@ def test_bpe_frames(spark):
     assert bpe.round_trip(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def prior_of(ids):
+    return token_files.unpacked_prior(token_files.packed_prior(ids))
+
+
 @pytest.mark.parametrize("n,block", [(1, 512), (700, 512), (5000, 512), (1024, 512), (3000, 4096)])
 def test_coder(n, block):
     rng = np.random.default_rng(n)
-    for ids in (rng.zipf(1.3, n) % 50_257, rng.integers(0, 65_536, n), np.full(n, 65_535), np.zeros(n, np.int64), np.arange(n) % 3):
-        assert (token_files.decode(token_files.encode(ids, block), n, block) == ids).all()
+    for ids in (rng.zipf(1.3, n) % 50_257, rng.integers(0, 65_536, n), np.full(n, 65_535), np.zeros(n, np.int64), np.arange(n) % 3, np.r_[np.zeros(n, np.int64), 7]):
+        assert (mixing.decode(mixing.encode(ids, block, prior_of(ids)), len(ids), block, prior_of(ids)) == ids).all()
+
+
+def test_coder_with_every_id():
+    ids = np.random.default_rng(0).permutation(np.r_[np.arange(65_536), np.zeros(200_000, np.int64)])
+    assert (mixing.decode(mixing.encode(ids, 512, prior_of(ids)), len(ids), 512, prior_of(ids)) == ids).all()
+
+
+def test_blocks_are_independent():
+    ids = np.random.default_rng(0).zipf(1.3, 6000) % 50_257
+    prior, coded = prior_of(ids), mixing.encode(ids, 512, prior_of(ids))
+    for k in (0, 5, len(coded) - 1):
+        part = ids[512 * k : 512 * (k + 1)]
+        assert (mixing.decode([coded[k]], len(part), 512, prior) == part).all()
 
 
 def test_coder_learns_repeats():
     ids = np.tile(np.random.default_rng(0).integers(0, 50_257, 50), 80)
-    assert sum(map(len, token_files.encode(ids, 4096))) * 8 / len(ids) < 3
+    assert sum(map(len, mixing.encode(ids, 4096, prior_of(ids)))) * 8 / len(ids) < 1
 
 
-def test_coder_learns_contexts_of_a_large_vocabulary():
-    ids = np.tile(np.random.default_rng(1).permutation(50_257)[:1000], 8)
-    assert sum(map(len, token_files.encode(ids, 8192))) * 8 / len(ids) < 6
-    assert token_files.block_size(2_500_000) == 4096 and token_files.block_size(token_files.GROUP) == token_files.MOST
+def test_coder_takes_less_than_order_0_and_zlib(spark, middle):
+    ids, _ = tokens.encoder(JSON).ids(table(spark, middle, "documents").orderBy("doc_id").select("text").toArrow().column("text").combine_chunks())
+    ids = ids[:600_000]
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    size = len(written([(0, ids)])) * 8 / len(ids)  # the whole file: prior, blocks, directory
+    assert size < 0.98 * entropy and size < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+    assert token_files.block_size(1) == 512 and token_files.block_size(token_files.GROUP) == token_files.MOST
 
 
 def test_ids_beyond_16_bits_are_refused():
@@ -123,7 +168,7 @@ def written(docs):
     f = io.BytesIO()
     w = token_files.Writer(f)
     for doc_id, ids in docs:
-        w.add(doc_id, np.array(ids, "<u4").tobytes())
+        w.add([doc_id], [len(ids)], np.array(ids, np.uint32))
     w.close()
     return f.getvalue()
 
@@ -158,9 +203,7 @@ def test_token_files_odd_rows(spark, tmp_path, library):
     assert token_files.read_files(token_files.write_files(docs.limit(0), f"file://{tmp_path}/e", JSON)).count() == 0
 
 
-def test_writing_forgets_words_beyond_those_remembered(spark, tmp_path, monkeypatch):
-    import pyarrow as pa
-
+def test_files_end_after_so_many_tokens(spark, tmp_path, monkeypatch):
     class Rows:
         sparkSession = spark
 
@@ -174,15 +217,15 @@ def test_writing_forgets_words_beyond_those_remembered(spark, tmp_path, monkeypa
 
     class Task:
         get = staticmethod(lambda: Task)
-        partitionId = staticmethod(lambda: 0)
+        partitionId = staticmethod(lambda: 3)
 
-    words = tokens.LibraryWords(JSON, remembered=3, special=True)
     monkeypatch.setattr(token_files, "TaskContext", Task)
-    monkeypatch.setattr(token_files, "encoder", lambda _: words)
-    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b c d e f g", "h i j k l m n"]})
-    (made,) = token_files.write_files(Rows(), f"file://{tmp_path}/t", JSON)([batch])
-    assert made.column(3).to_pylist() == [2]
-    assert len(words.first) <= 3 and len(words.later) <= 3
+    monkeypatch.setattr(token_files, "FILE", 6)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k, None], "text": ["a b c d", None]}) for k in range(4)]
+    made = pa.Table.from_batches(token_files.write_files(Rows(), f"file://{tmp_path}/t", JSON)(batches)).to_pylist()
+    assert [(r["part"], r["number"], r["tokens"], r["documents"]) for r in made] == [(3, k, 6, 2) for k in range(4)]
+    rows = token_files.read_files(spark.createDataFrame(made[::-1]), with_ids=True).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [x for k in range(4) for x in ((k, 6 * k, 5), (None, 6 * k + 5, 1))]
 
 
 def check_runs(counts, capacity):
