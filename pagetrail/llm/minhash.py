@@ -28,12 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetrail.llm.batches import give_back, pieces
 from pagetrail.llm.bloom import joined_few, probed
 from pagetrail.llm.components import components
 from pagetrail.llm.hashing import mixed, word_hashes
 from pagetrail.llm.shared import table, written
 
-ROWS, MISS, CHUNK = 5, 1e-6, 1500
+ROWS, MISS, CHUNK = 5, 1e-6, 1000
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -149,7 +150,7 @@ def near_links(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id"
     def sketch(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n, keys, sets = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words)
@@ -194,6 +195,8 @@ def near_links(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id"
                 group.append((doc_id, side, text))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), ()))], ["a", "b"])
         out = links(group, key) if len(group) > 1 else []
+        del group
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), ()))], ["a", "b"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -116,7 +116,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_task.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = made.join(offsets, ["length", "task"]).withColumn("rank", F.col("task_rank") + F.col("before"))
+    # a row for each length and task: as many tasks would make a large broadcast, both sides are sorted
+    ranked = made.join(offsets.hint("merge"), ["length", "task"]).withColumn("rank", F.col("task_rank") + F.col("before"))
     # a length has a few runs, whatever the number of pieces: the plan is bounded by the capacity
     fits = [ranked["length"] == plan["length"], F.col("rank") >= F.col("rank_from"), F.col("rank") < F.col("rank_to")]
     placed = ranked.join(F.broadcast(plan), fits)

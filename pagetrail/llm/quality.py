@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetrail.llm.batches import pieces
 from pagetrail.llm.shared import table
 
 #: Labelled rows used for fitting, at most; buckets of the hashed features.
@@ -131,7 +132,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str =
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches, 2):
             found = [features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label_id", "grade", "ids"])
 
@@ -160,7 +161,7 @@ def scored(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_
 
         weights, thresholds = shared.value
         own = Ordinal(len(thresholds) + 1, weights, thresholds)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             score = np.array([weights[features(t)].sum(dtype=np.float64) for t in batch.column(1).to_pylist()])
             tails = np.round(own.tails(score), 6)
             kept = tails[:, -1] >= keep_at
