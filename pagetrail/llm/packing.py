@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
         words, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = end_id.to_bytes(4, "little")
-        for batch, flat, ends in words.over(batches):
+        for batch, flat, ends in words.over(batches, most=4 << 20):
             out, data = [], memoryview(flat.view(np.uint8))
             for row_id, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 n = b - a + 1  # with the end id

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from pagetrail.llm.batches import pieces
+from pagetrail.llm.batches import PIECE_BYTES, pieces
 
 #: Segments that a worker remembers; those met later are encoded once a piece.
 REMEMBERED = 500_000
@@ -101,9 +101,9 @@ class Segments:
         at = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] // 4
         return ids[: at[-1]], at[np.searchsorted(starts, ends)]
 
-    def over(self, batches: Iterator, column: int = 1) -> Iterator:
+    def over(self, batches: Iterator, column: int = 1, most: int = PIECE_BYTES) -> Iterator:
         """(piece of a record batch, ids, ends) for all rows of the batches."""
-        for piece in pieces(batches, column):
+        for piece in pieces(batches, column, most):
             yield (piece, *self.ids(piece.column(column)))
 
 
