@@ -7,18 +7,20 @@ budget's root, brings pairs within the budget into one cell or two neighbouring
 candidates every pair is verified by its cosine in double precision, in the first block that
 proposes it and there alone, so links are counted without a list of pairs.
 
-Equal vectors are one class with a count. Classes of a label that are many get a grid over more
-coordinates; a cell that holds more than `CHUNK` classes all the same is compared chunk by chunk in
-several tasks. Tasks return a row per linked class: how many vectors it links with, and the smallest
-class of those it hangs together with there.
+Equal vectors are one numbered class with a count. Classes of a label that are many get a grid over
+more coordinates; a cell that holds more than `CHUNK` classes all the same is compared chunk by chunk
+in several groups. Groups return a row per linked class: how many vectors it links with, and the
+smallest class of those it hangs together with there.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components, or has a
 null label or id, links with nothing and is its own component; vectors of different lengths never
-link; an empty table gives an empty result; other columns are not read.
+link; vectors that share an id count and link each by itself; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -35,6 +37,7 @@ FIRST_GRID, GROWTH, MOST_COORDINATES = 20_000, 4, 4
 SLACK = 1e-9
 
 
+@functools.cache
 def rotation(dims: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(7).normal(size=(dims, dims)))[0]
 
@@ -84,9 +87,9 @@ def placed(classes: DataFrame, cosine: float) -> DataFrame:
                         key = np.zeros(len(part), np.int64)
                         for k in range(used):
                             key = key * 65_536 + (at[:, k] + step[k] + 32_768) % 65_536
-                        yield pd.DataFrame({"label": part["label"], "dims": dims, "block": b, "cell": key, "own": not any(step), "rep": part["rep"], "copies": part["copies"], "vector": part["vector"]})
+                        yield pd.DataFrame({"label": part["label"], "dims": dims, "block": b, "cell": key, "own": not any(step), "class": part["class"], "copies": part["copies"], "vector": part["vector"]})
 
-    return classes.mapInPandas(run, "label long, dims int, block int, cell long, own boolean, rep long, copies long, vector array<float>")
+    return classes.mapInPandas(run, "label long, dims int, block int, cell long, own boolean, class long, copies long, vector array<double>")
 
 
 def linked(own: np.ndarray, chunk: np.ndarray, low: int, high: int, block: int, rep: np.ndarray, copies: np.ndarray, vectors: np.ndarray, cosine: float):
@@ -135,42 +138,73 @@ def linked(own: np.ndarray, chunk: np.ndarray, low: int, high: int, block: int,
     return rep[hit], least[roots], count[hit]
 
 
+def groups_of(batches: Iterator, keys: int) -> Iterator:
+    """Tables of the rows that share the first columns; rows come sorted by them."""
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        new = np.zeros(len(batch), bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        new[:1] = bool(held) and any(c[0] != held[0].column(k)[0].as_py() for k, c in enumerate(columns))
+        cuts = [0, *np.flatnonzero(new).tolist(), len(batch)]
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if n and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def vector_links(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: a row per vector."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = finite & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     fit = rows.filter("sound").select("vec_id", "label", "vector")
 
-    classes = fit.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dims", F.size("vector"))
-    classes = written(classes, "classes")
+    classes = fit.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.withColumns({"dims": F.size("vector"), "class": F.monotonically_increasing_id()}), "classes")
     sizes = classes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"))
     more = F.floor(F.log(float(GROWTH), F.greatest(F.col("n") / FIRST_GRID, F.lit(1.0)))) + 1
     sizes = sizes.select("label", "dims", F.least(more, F.lit(MOST_COORDINATES)).cast("int").alias("coordinates"))
-    seen = placed(classes.join(sizes, ["label", "dims"]).select("label", "dims", "coordinates", "rep", "copies", "vector"), cosine)
+    seen = placed(classes.join(sizes, ["label", "dims"]).select("label", "dims", "coordinates", "class", "copies", "vector"), cosine)
 
     key = ["label", "dims", "block", "cell"]
     seen = written(seen, "cells")
     full = written(seen.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / chunk)).drop("n"), "full")
-    dealt = seen.join(full, key, "left").fillna(1, ["chunks"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-    # a chunk meets every chunk of its cell, itself included, in a task of their own
+    dealt = seen.join(full, key, "left").fillna(1, ["chunks"]).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")))
+    # a chunk meets every chunk of its cell, itself included, in a group of their own
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
 
-    def run(keys, pdf):
-        import pandas as pd
-
-        rep, root, links = linked(pdf["own"].to_numpy(), pdf["chunk"].to_numpy(), keys[4], keys[5], keys[2], pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), np.stack(pdf["vector"].to_numpy()), cosine)
-        return pd.DataFrame({"rep": rep, "root": root, "links": links})
-
-    found = dealt.groupBy(*key, "low", "high").applyInPandas(run, "rep long, root long, links long")
-    found = written(found, "found")
-
-    joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = classes.select("label", "vector", "rep", "copies").join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    classes = classes.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    good = fit.join(classes, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for group in groups_of(batches, 6):
+            if len(group) < 2:
+                continue
+            own, chunks, number, copies = (group.column(c).to_numpy() for c in ("own", "chunk", "class", "copies"))
+            dims, block, low, high = (group.column(c)[0].as_py() for c in ("dims", "block", "low", "high"))
+            flat = np.concatenate([c.flatten().to_numpy() for c in group.column("vector").chunks])
+            found = linked(own, chunks, low, high, block, number, copies, flat.reshape(-1, dims), cosine)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["class", "root", "links"])
+
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = dealt.select(*key, "low", "high", "own", "chunk", "class", "copies", "vector").repartition(n, *key, "low", "high").sortWithinPartitions(*key, "low", "high")
+    found = written(grouped.mapInArrow(run, "class long, root long, links long"), "found")
+
+    joined = written(components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))), "joined")
+    least = joined.join(classes.select("class", "rep"), F.col("node") == F.col("class")).groupBy("component").agg(F.min("rep").alias("component_id"))
+    reached = joined.join(least, "component").select(F.col("node").alias("class"), "component_id")
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    known = classes.select("label", "vector", "rep", "copies", "class").join(links, "class", "left").join(reached, "class", "left")
+    known = known.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    good = fit.join(known, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
@@ -180,4 +214,18 @@ def op9_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_subspace_pigeonhole": op9_subspace_pigeonhole}
-ORACLES: dict[str, str] = {}
+#: By brute force: all pairs of a label, then reachability; for small tables.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding AS v, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, CAST(least(vec_id, coalesce((SELECT min(b) FROM r WHERE a = vec_id), vec_id)) AS BIGINT) AS component_id,
+       vec_id <= coalesce((SELECT min(b) FROM r WHERE a = vec_id), vec_id) AS kept
+FROM embeddings
+"""
+ORACLES = {"op9_subspace_pigeonhole": SQL}

@@ -206,7 +206,7 @@ def vectors_by_brute_force(rows):
         for b, y, q in rows[:i]:
             sound = all(v is not None and len(v) and None not in v and np.isfinite(v).all() and np.any(v) for v in (x, y))
             if sound and p is not None and p == q and a is not None and b is not None and len(x) == len(y):
-                x_, y_ = np.array(x, np.float32).astype(float), np.array(y, np.float32).astype(float)
+                x_, y_ = np.array(x, float), np.array(y, float)
                 if x_ @ y_ / np.sqrt((x_ @ x_) * (y_ @ y_)) >= 0.98:
                     pairs.append((a, b))
                     n[a] += 1
@@ -231,6 +231,39 @@ def test_vectors(spark, monkeypatch, first_grid, chunk):
     assert vector_dedup.vector_links(df.limit(0)).count() == 0
 
 
+def test_double_vectors_at_the_threshold(spark):
+    rng, rows = np.random.default_rng(3), []
+    for k in range(150):
+        a = rng.normal(size=24)
+        a /= np.sqrt(a @ a)
+        b = rng.normal(size=24)
+        b -= (a @ b) * a
+        b /= np.sqrt(b @ b)
+        c = 0.98 + rng.choice([-1, 1]) * 10.0 ** -rng.integers(8, 12)
+        rows += [(2 * k, a.tolist(), k), (2 * k + 1, (c * a + np.sqrt(1 - c * c) * b).tolist(), k)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.vector_links(df).collect()}
+    assert got == vectors_by_brute_force(rows) and 0 < sum(n for n, _ in got.values()) < len(rows)
+
+
+def test_vectors_that_share_an_id(spark):
+    base = np.eye(8)
+    near = lambda k: (base[k] + 0.01 * base[7]).tolist()
+    rows = [(5, base[0].tolist(), 0), (5, base[1].tolist(), 0), (2, near(0), 0), (9, near(1), 0), (5, base[2].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_links(df).collect())
+    assert got == [(2, 1, 2, True), (5, 0, 5, True), (5, 1, 2, False), (5, 1, 5, True), (9, 1, 5, False)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 100])
+def test_groups_of_sorted_rows(size):
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"a": [1, 1, 1, 2, 2, 3], "b": [0, 0, 1, 1, 1, 1], "v": list(range(6))})
+    got = [t.column("v").to_pylist() for t in vector_dedup.groups_of((rows.slice(k, size) for k in range(0, 6, size)), 2)]
+    assert got == [[0, 1], [2], [3, 4], [5]]
+
+
 def test_op9(spark, small):
     rows = [tuple(r) for r in table(spark, small, "embeddings").select("vec_id", "embedding", "label").collect()]
     got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.op9_subspace_pigeonhole(spark, small).collect()}
