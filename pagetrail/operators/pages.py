@@ -1,4 +1,8 @@
-"""From captured HTML to page records: text, keywords, description."""
+"""From captured HTML to page records: text, keywords, description.
+
+Defined results: null html and texts count as empty and give no terms; ties between terms go by the
+term; pages that share an id count together; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,8 @@ from pagetrail.functions import scalars as S
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 HIDDEN = (r"(?is)<head(\s[^>]*)?>.*?</head>", r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>")
 KEYWORDS = 25
+#: Partners that a keyword brings to a page: those of largest mutual information, ties by term.
+PARTNERS = 50
 
 
 def unescaped(text: Column) -> Column:
@@ -56,20 +62,28 @@ def top_terms(weighted: DataFrame, k: int = KEYWORDS) -> DataFrame:
     return weighted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def corpus_terms(term_counts_: DataFrame, pages: DataFrame) -> DataFrame:
+    """term, df, n: pages with the term and pages in all."""
+    n = pages.agg(F.count(F.lit(1)).cast("double").alias("n"))  # one row
+    return term_counts_.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
+
+
+def weighted_terms(tf: DataFrame, corpus: DataFrame, k: int = KEYWORDS) -> DataFrame:
+    """id, term, weight, rank by tf * ln(n / df); corpus: term, df, n of the pages themselves or of a corpus with their terms."""
+    weight = F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6)
+    return top_terms(tf.join(corpus, "term").select("id", "term", weight.alias("weight")), k)
+
+
 def direct_keywords(pages: DataFrame, id_col: str, text_col: str, k: int = KEYWORDS) -> DataFrame:
     """id, term, weight, rank: terms of the page by tf * ln(N / df)."""
     tf = term_counts(pages, id_col, text_col)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = pages.agg(F.count(F.lit(1)).cast("double").alias("n"))  # one row
-    weight = F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6)
-    return top_terms(tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", weight.alias("weight")), k)
+    return weighted_terms(tf, corpus_terms(tf, pages), k)
 
 
-def related_keywords(direct: DataFrame, page_terms: DataFrame, k: int = KEYWORDS, least: int = 2) -> DataFrame:
-    """id, term, weight, rank: terms that go with a page's direct keywords on other pages but are not on it.
+def keyword_partners(direct: DataFrame, least: int = 2, most: int = PARTNERS) -> DataFrame:
+    """a, b, pmi: the `most` keywords b that go with keyword a on `least` pages or more, by pointwise mutual information.
 
-    A page gives at most k * (k - 1) ordered pairs. Weight: sum over the page's keywords of the
-    pointwise mutual information of pairs seen on `least` pages or more.
+    A page gives at most k * (k - 1) ordered pairs, and a keyword at most `most` rows here.
     """
     a = direct.select("id", F.col("term").alias("a"))
     pairs = a.join(direct.select("id", F.col("term").alias("b")), "id").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= least)
@@ -79,9 +93,20 @@ def related_keywords(direct: DataFrame, page_terms: DataFrame, k: int = KEYWORDS
         pairs.join(on.select(F.col("term").alias("a"), F.col("pages").alias("on_a")), "a")
         .join(on.select(F.col("term").alias("b"), F.col("pages").alias("on_b")), "b")
         .crossJoin(F.broadcast(n))
-        .select("a", "b", F.log(F.col("both") * F.col("n") / (F.col("on_a").cast("double") * F.col("on_b"))).alias("pmi"))
+        .select("a", "b", F.round(F.log(F.col("both") * F.col("n") / (F.col("on_a").cast("double") * F.col("on_b"))), 6).alias("pmi"))
     )
-    near = a.join(pmi, "a").groupBy("id", F.col("b").alias("term")).agg(F.round(F.sum("pmi"), 6).alias("weight"))
+    best = Window.partitionBy("a").orderBy(F.desc("pmi"), "b")
+    return pmi.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most).drop("place")
+
+
+def related_keywords(direct: DataFrame, page_terms: DataFrame, k: int = KEYWORDS, partners: DataFrame | None = None) -> DataFrame:
+    """id, term, weight, rank: terms that go with a page's direct keywords on other pages but are not on it.
+
+    Weight: sum over the page's keywords of the mutual information with their partners.
+    """
+    partners = keyword_partners(direct) if partners is None else partners
+    a = direct.select("id", F.col("term").alias("a"))
+    near = a.join(partners, "a").groupBy("id", F.col("b").alias("term")).agg(F.round(F.sum("pmi"), 6).alias("weight"))
     return top_terms(near.join(page_terms.select("id", "term"), ["id", "term"], "left_anti"), k)
 
 
@@ -90,6 +115,12 @@ def keyword_text(ranked: DataFrame, into: str) -> DataFrame:
     return ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("k")).select("id", S.joined_words(F.col("k.term")).alias(into))
 
 
+def with_keywords(pages: DataFrame, direct: DataFrame, related: DataFrame) -> DataFrame:
+    """pages(id) with the texts direct_keywords and related_keywords, empty where there are none."""
+    texts = pages.join(keyword_text(direct, "direct_keywords"), "id", "left").join(keyword_text(related, "related_keywords"), "id", "left")
+    return texts.withColumns({c: S.or_default(F.col(c)) for c in ("direct_keywords", "related_keywords")})
+
+
 def annotate(captures: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """A user's own model: fn takes and gives an iterator of pandas frames with that schema."""
     return captures.mapInPandas(fn, schema)

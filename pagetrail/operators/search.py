@@ -1,4 +1,10 @@
-"""Postings, corpus statistics and batches of ranked queries (BM25, a score per field, summed)."""
+"""Postings, corpus statistics and batches of ranked queries (BM25, a score per field, summed).
+
+Statistics come with a stored index (`sources.tables.open_index`) or are computed from the postings.
+Defined results: null texts have no terms; a query without terms, or whose terms occur nowhere, has no
+hits; ties go by id; a null `must`, `must_not` or `phrase` asks for nothing; pages that share an id count
+as one; an empty index gives no hits.
+"""
 
 from __future__ import annotations
 
@@ -34,17 +40,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("term"))
 
 
-def scored(postings: DataFrame, queries: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+def scored(postings: DataFrame, queries: DataFrame, fields: tuple[str, ...] | None = None, stats: dict[str, DataFrame] | None = None) -> DataFrame:
     """query_id, id, score of every page with any term of the query's text, rounded to 6 places.
 
-    Only postings of queried terms are joined with their lengths; statistics come from all postings.
+    Only postings of queried terms are joined with their lengths; statistics are those of all postings.
+    stats: stored tables docs (doc_stats), fields (field_stats) and terms (term_stats).
     """
     terms = query_terms(queries)
-    docs = doc_stats(postings)
-    fields_ = field_stats(docs)
+    docs = stats["docs"] if stats else doc_stats(postings)
+    fields_ = stats["fields"] if stats else field_stats(docs)
     hit = postings.filter(F.col("field").isin(list(fields))) if fields else postings
     asked = hit.join(terms, "term").select("query_id", "field", "term", "id", "tf")
-    df = term_stats(hit.join(terms.select("term").distinct(), "term", "left_semi"))
+    df = stats["terms"] if stats else term_stats(hit.join(terms.select("term").distinct(), "term", "left_semi"))
     rows = asked.join(df, ["field", "term"]).join(docs, ["field", "id"]).join(F.broadcast(fields_), "field")  # a row per field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -55,7 +62,7 @@ def having_terms(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query_id, id) of pages that hold all terms of wanted(query_id, term), in whichever field."""
     terms = wanted.distinct()
     need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    have = postings.select("term", "id").distinct().join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("have"))
+    have = postings.select("term", "id").join(terms, "term").distinct().groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("have"))
     return have.join(need, "query_id").filter("have = need").select("query_id", "id")
 
 
@@ -82,12 +89,12 @@ def hits(ranked: DataFrame, index: DataFrame) -> DataFrame:
     return ranked.join(index.select("id", "title", "description", "timestamp", "url"), "id").select("query_id", "rank", "score", "title", "description", "timestamp", "url")
 
 
-def search(index: DataFrame, postings: DataFrame, queries: DataFrame, fields: tuple[str, ...] | None = None, page: int = 0, size: int = 10, user_id: int | None = None) -> DataFrame:
+def search(index: DataFrame, postings: DataFrame, queries: DataFrame, fields: tuple[str, ...] | None = None, page: int = 0, size: int = 10, user_id: int | None = None, stats: dict[str, DataFrame] | None = None) -> DataFrame:
     """A page of hits for each row of queries.
 
     queries: query_id, text, and where wanted must, must_not (arrays of terms), phrase, ts_from, ts_to.
     """
-    found = scored(postings, queries, fields)
+    found = scored(postings, queries, fields, stats)
     have = set(queries.columns)
     if "must" in have:
         asked = queries.filter(F.size("must") > 0)

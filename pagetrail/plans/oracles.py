@@ -42,11 +42,34 @@ idx AS (SELECT {_u64('url')} AS id, page_id, url, coalesce(nullif(title, ''), nu
         FROM pd QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)"""
 
 
+def _keywords(source: str) -> str:
+    """Direct and related keywords of the pages of a source with id and body, and their texts by id."""
+    return f"""
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_tokens('body')}) AS term FROM {source}) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+dk AS (SELECT id, term, round(tf * ln(CAST((SELECT count(*) FROM {source}) AS DOUBLE) / df), 6) AS weight FROM tf JOIN df USING (term)),
+dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM dk QUALIFY rank <= 25),
+pr AS (SELECT x.term AS a, y.term AS b, count(*) AS both_ FROM dr x JOIN dr y ON x.id = y.id AND x.term <> y.term GROUP BY ALL HAVING count(*) >= 2),
+o AS (SELECT term, count(*) AS c FROM dr GROUP BY ALL),
+pa AS (SELECT a, b, round(ln(both_ * CAST((SELECT count(DISTINCT id) FROM dr) AS DOUBLE) / (CAST(oa.c AS DOUBLE) * ob.c)), 6) AS pmi FROM pr JOIN o oa ON oa.term = a JOIN o ob ON ob.term = b),
+pm AS (SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY a ORDER BY pmi DESC, b) <= 50),
+nr AS (SELECT dr.id, b AS term, round(sum(pmi), 6) AS weight FROM dr JOIN pm ON pm.a = dr.term GROUP BY ALL),
+rr AS (SELECT id, term, weight, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS INTEGER) AS rank
+       FROM nr WHERE NOT EXISTS (SELECT 1 FROM tf WHERE tf.id = nr.id AND tf.term = nr.term) QUALIFY rank <= 25),
+dt AS (SELECT id, string_agg(term, ' ' ORDER BY rank) AS k FROM dr GROUP BY id),
+rt AS (SELECT id, string_agg(term, ' ' ORDER BY rank) AS k FROM rr GROUP BY id)"""
+
+
+RECORDS = f"""{INDEX}, {_keywords('idx')},
+rec AS MATERIALIZED (SELECT idx.*, coalesce(dt.k, '') AS direct_keywords, coalesce(rt.k, '') AS related_keywords FROM idx LEFT JOIN dt USING (id) LEFT JOIN rt USING (id))"""
+FIELDS = ("title", "description", "direct_keywords", "related_keywords")
+
+
 def _words(source: str, fields: tuple[str, ...]) -> str:
     return " UNION ALL ".join(f"SELECT '{f}' AS field, id, unnest({_tokens(f)}) AS term, unnest(range(len({_tokens(f)}))) AS pos FROM {source}" for f in fields)
 
 
-def _post(source: str = "idx", name: str = "post", fields: tuple[str, ...] = ("title", "description")) -> str:
+def _post(source: str = "rec", name: str = "post", fields: tuple[str, ...] = FIELDS) -> str:
     return f"""
 {name}_w AS ({_words(source, fields)}),
 {name} AS (SELECT field, term, id, CAST(count(*) AS INTEGER) AS tf, list(pos ORDER BY pos) AS positions FROM {name}_w GROUP BY ALL)"""
@@ -68,7 +91,7 @@ sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5:
 
 
 def _search(where: str = "true", low: int = 0, high: int = 15, fields: str = "true") -> str:
-    return f"""WITH {INDEX}, {_post()}, {STATS}, {ASKED}, {_scores(fields)},
+    return f"""WITH {RECORDS}, {_post()}, {STATS}, {ASKED}, {_scores(fields)},
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE {where})
 SELECT query_id, CAST(rank AS INTEGER) AS rank, score, title, description, "timestamp", url FROM rk JOIN idx USING (id) WHERE rank > {low} AND rank <= {high}"""
 
@@ -98,11 +121,6 @@ rs AS (SELECT request_id, r.host, s.user_id AS session_user, u.username
        LEFT JOIN v_sessions s ON s.key = r.key AND s.host = r.host AND s.expires_at_datetime > 1705276800 AND s.host IN ('host0', 'host1', 'host2')
        LEFT JOIN v_users u ON u.id = s.user_id)"""
 LATEST = "QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1"
-DIRECT = f"""{INDEX},
-tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_tokens('body')}) AS term FROM idx) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
-dk AS (SELECT id, term, round(tf * ln(CAST((SELECT count(*) FROM idx) AS DOUBLE) / df), 6) AS weight FROM tf JOIN df USING (term)),
-dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM dk QUALIFY rank <= 25)"""
 TREE = """
 e AS (SELECT u.id, p.id AS parent FROM v_users u LEFT JOIN v_users p ON p.id = u.parent_id),
 dep AS (SELECT id, 0 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.id, depth + 1 FROM e JOIN dep ON e.parent = dep.id)"""
@@ -124,28 +142,19 @@ ORACLES = {
     "page_text": f"WITH {TEXT} SELECT page_id, url, title, h1, body, description, coalesce(nullif(title, ''), nullif(h1, ''), url, '') AS shown_title FROM pd",
     "page_ids": f"SELECT page_id, {_u64('url')} AS id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages",
     "page_tokens": f"WITH {TEXT} SELECT page_id, CAST(unnest(range(len({_tokens('body')}))) AS INTEGER) AS pos, unnest({_tokens('body')}) AS term FROM pd",
-    "postings": f"WITH {INDEX}, {_post()} {POSITIONS} FROM post",
-    "corpus_stats": f"WITH {INDEX}, {_post()}, {STATS} SELECT field, term, df, n, round(avgdl, 6) AS avgdl FROM ts JOIN fs USING (field)",
-    "direct_keywords": f"WITH {DIRECT} SELECT id, term, weight, rank FROM dr",
-    "related_keywords": f"""WITH {DIRECT},
-pr AS (SELECT x.term AS a, y.term AS b, count(*) AS both_ FROM dr x JOIN dr y ON x.id = y.id AND x.term <> y.term GROUP BY ALL HAVING count(*) >= 2),
-o AS (SELECT term, count(*) AS c FROM dr GROUP BY ALL),
-pm AS (SELECT a, b, ln(both_ * CAST((SELECT count(DISTINCT id) FROM dr) AS DOUBLE) / (CAST(oa.c AS DOUBLE) * ob.c)) AS pmi FROM pr JOIN o oa ON oa.term = a JOIN o ob ON ob.term = b),
-nr AS (SELECT dr.id, b AS term, round(sum(pmi), 6) AS weight FROM dr JOIN pm ON pm.a = dr.term GROUP BY ALL)
-SELECT id, term, weight, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS INTEGER) AS rank
-FROM nr WHERE NOT EXISTS (SELECT 1 FROM tf WHERE tf.id = nr.id AND tf.term = nr.term) QUALIFY rank <= 25""",
+    "postings": f"WITH {RECORDS}, {_post()} {POSITIONS} FROM post",
+    "corpus_stats": f"WITH {RECORDS}, {_post()}, {STATS} SELECT field, term, df, n, round(avgdl, 6) AS avgdl FROM ts JOIN fs USING (field)",
+    "direct_keywords": f"WITH {INDEX}, {_keywords('idx')} SELECT id, term, weight, rank FROM dr",
+    "related_keywords": f"WITH {INDEX}, {_keywords('idx')} SELECT id, term, weight, rank FROM rr",
     "page_records": f"""WITH {TEXT}, {CAPTURES},
 lc AS (SELECT url, ts, user_id FROM v_captures WHERE op = 'index' {LATEST}),
 p AS (SELECT {_u64('url')} AS id, pd.*, lc.ts, lc.user_id FROM (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1) pd JOIN lc USING (url)),
-tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_tokens('body')}) AS term FROM p) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
-dk AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(CAST((SELECT count(*) FROM p) AS DOUBLE) / df), 6) DESC, term) AS rank FROM tf JOIN df USING (term)),
-kw AS (SELECT id, string_agg(term, ' ' ORDER BY rank) AS k FROM dk WHERE rank <= 5 GROUP BY id)
-SELECT id, url, coalesce(nullif(title, ''), nullif(h1, ''), url, '') AS title, description, coalesce(k, '') AS direct_keywords, '' AS related_keywords, ts AS "timestamp", user_id,
+{_keywords('p')}
+SELECT id, url, coalesce(nullif(title, ''), nullif(h1, ''), url, '') AS title, description, coalesce(dt.k, '') AS direct_keywords, coalesce(rt.k, '') AS related_keywords, ts AS "timestamp", user_id,
        CASE WHEN page_id % 2 = 0 THEN sha256(html) ELSE '' END AS image_hash, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) || '.jpg' ELSE '' END AS image_filename
-FROM p LEFT JOIN kw USING (id)""",
+FROM p LEFT JOIN dt USING (id) LEFT JOIN rt USING (id)""",
     "search_any": _search(),
-    "search_topk": f"WITH {INDEX}, {_post()}, {STATS}, {ASKED}, {_scores()} SELECT query_id, id, score FROM sc ORDER BY score DESC, query_id, id LIMIT 10",
+    "search_topk": f"WITH {RECORDS}, {_post()}, {STATS}, {ASKED}, {_scores()} SELECT query_id, id, score FROM sc ORDER BY score DESC, query_id, id LIMIT 10",
     "search_page2": _search(low=15, high=30),
     "search_fields": _search(fields="field = 'title'"),
     "search_must": _search("EXISTS (SELECT 1 FROM q JOIN post p ON p.term = q.w[1] WHERE q.query_id = sc.query_id AND p.id = sc.id) OR (SELECT len(w) FROM q WHERE q.query_id = sc.query_id) = 0"),
@@ -155,11 +164,11 @@ FROM p LEFT JOIN kw USING (id)""",
     "lookup_url": f"WITH {INDEX}, {CAPTURES} SELECT id, url, title FROM idx WHERE url IN (SELECT url FROM v_captures WHERE seq % 100 = 0)",
     "latest_by_url": f"WITH {CAPTURES} SELECT * FROM v_captures {LATEST}",
     "upsert_pages": f"""WITH {CAPTURES}, l AS (SELECT * FROM v_captures WHERE op = 'index'),
-old AS (SELECT * FROM l WHERE seq % 2 = 0 {LATEST}), new AS (SELECT * FROM l WHERE seq % 2 = 1 AND page_id % 3 = 0 {LATEST})
+old AS (SELECT * FROM l WHERE seq % 2 = 0 {LATEST}), new AS (SELECT * FROM l WHERE seq % 2 = 1 {LATEST})
 SELECT * FROM old WHERE url NOT IN (SELECT url FROM new) UNION ALL SELECT * FROM new""",
     "apply_log": f"WITH {CAPTURES}, l AS (SELECT * FROM v_captures {LATEST}) SELECT * FROM l WHERE op = 'index'",
-    "delete_by_url": f"WITH {CAPTURES}, l AS (SELECT * FROM v_captures WHERE op = 'index' {LATEST}) SELECT * FROM l WHERE url NOT IN (SELECT url FROM v_captures WHERE op = 'delete' AND user_id % 4 = 0)",
-    "update_postings": f"""WITH {INDEX}, ix2 AS (SELECT id, CASE WHEN page_id % 7 = 3 THEN title || ' ' || description ELSE title END AS title, CASE WHEN page_id % 7 = 3 THEN title ELSE description END AS description FROM idx),
+    "delete_by_url": f"WITH {CAPTURES}, l AS (SELECT * FROM v_captures WHERE op = 'index' {LATEST}) SELECT * FROM l WHERE url NOT IN (SELECT url FROM v_captures WHERE op = 'delete')",
+    "update_postings": f"""WITH {RECORDS}, ix2 AS (SELECT id, direct_keywords, related_keywords, CASE WHEN page_id % 7 = 3 THEN title || ' ' || description ELSE title END AS title, CASE WHEN page_id % 7 = 3 THEN title ELSE description END AS description FROM rec),
 {_post('ix2')} {POSITIONS} FROM post""",
     "recent_captures": f"WITH {CAPTURES} SELECT * FROM v_captures WHERE op = 'index' ORDER BY seq DESC LIMIT 15",
     "session_users": f"WITH {RESOLVED} SELECT * FROM rs",

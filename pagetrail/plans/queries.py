@@ -18,7 +18,7 @@ from pagetrail.sources import tables as R
 from pagetrail.sources.scratch import fresh_path, written
 from pagetrail.streaming import jobs as J
 
-FIELDS = ("title", "description")
+FIELDS = schemas.TEXT_FIELDS
 QUERIES: dict = {}
 
 
@@ -44,20 +44,22 @@ def page_tokens(spark, d):
 
 
 def _postings(spark, d):
-    return Q.build_postings(V.index(spark, d), FIELDS)
+    return Q.build_postings(V.records(spark, d), FIELDS)
 
 
 @query
 def postings(spark, d):
     path = fresh_path(spark, "index")
     R.write_index(_postings(spark, d), path)
-    return spark.read.parquet(path).select("field", "term", "id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+    return R.open_index(spark, path)[0].select("field", "term", "id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
 @query
 def corpus_stats(spark, d):
-    p = _postings(spark, d)
-    return Q.term_stats(p).join(Q.field_stats(Q.doc_stats(p)), "field").select("field", "term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+    path = fresh_path(spark, "index")
+    R.write_index(_postings(spark, d), path)
+    _, stats = R.open_index(spark, path)
+    return stats["terms"].join(stats["fields"], "field").select("field", "term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def _direct(spark, d):
@@ -71,25 +73,33 @@ def direct_keywords(spark, d):
 
 @query
 def related_keywords(spark, d):
-    direct = written(_direct(spark, d), "direct")
-    return P.related_keywords(direct, P.term_counts(V.index(spark, d), "id", "body")).select("id", "term", "weight", "rank")
+    c = V.corpus(written(V.index(spark, d), "index"))
+    return P.related_keywords(c["direct"], c["counts"], partners=c["partners"]).select("id", "term", "weight", "rank")
 
 
 @query
 def page_records(spark, d):
     last = C.latest_by_url(V.captures(spark, d).filter("op = 'index'")).select("url", "ts", "user_id", F.col("seq").alias("last_seq"))
-    pages = C.latest_by_url(V.extracted(spark, d).withColumn("seq", F.col("page_id"))).join(last, "url")
-    pages = pages.withColumn("id", S.page_id(F.col("url")))
-    words = P.keyword_text(P.direct_keywords(pages, "id", "body", 5), "direct_keywords")
+    pages = C.latest_by_url(V.table(spark, d, "pages").withColumn("seq", F.col("page_id"))).join(last, "url")
+    pages = written(P.extract_text(pages).withColumn("id", S.page_id(F.col("url"))), "pages")
+    c = V.corpus(pages)
     stored = F.col("page_id") % 2 == 0
-    full = pages.join(words, "id", "left").withColumns({"captured_title": F.col("url"), "related_keywords": F.lit(None).cast("string"), "stored": stored, "image": F.col("html").cast("binary"), "image_filename": F.when(stored, F.concat(F.col("page_id").cast("string"), F.lit(".jpg")))})
+    full = P.with_keywords(pages, c["direct"], P.related_keywords(c["direct"], c["counts"], partners=c["partners"]))
+    full = full.withColumns({"captured_title": F.col("url"), "stored": stored, "image": F.col("html").cast("binary"), "image_filename": F.when(stored, F.concat(F.col("page_id").cast("string"), F.lit(".jpg")))})
     return P.page_records(full)
 
 
+def _stored(spark, d):
+    """(records, postings, statistics) of an index written and opened again."""
+    idx, path = V.records(spark, d), fresh_path(spark, "index")
+    R.write_index(Q.build_postings(idx, FIELDS), path)
+    return idx, *R.open_index(spark, path)
+
+
 def _search(spark, d, columns=(), **how):
-    idx = written(V.index(spark, d), "pages")
+    idx, p, stats = _stored(spark, d)
     asked = V.queries(idx).select("query_id", "text", *columns)
-    return Q.search(idx, written(Q.build_postings(idx, FIELDS), "postings"), asked, **how)
+    return Q.search(idx, p, asked, stats=stats, **how)
 
 
 @query
@@ -99,9 +109,8 @@ def search_any(spark, d):
 
 @query
 def search_topk(spark, d):
-    idx = V.index(spark, d)
-    p = Q.build_postings(idx, FIELDS)
-    return Q.scored(p, V.queries(idx).select("query_id", "text")).orderBy(F.desc("score"), "query_id", "id").limit(10)
+    idx, p, stats = _stored(spark, d)
+    return Q.scored(p, V.queries(idx).select("query_id", "text"), stats=stats).orderBy(F.desc("score"), "query_id", "id").limit(10)
 
 
 @query
@@ -153,7 +162,7 @@ def latest_by_url(spark, d):
 @query
 def upsert_pages(spark, d):
     log = V.captures(spark, d).filter("op = 'index'")
-    return C.upsert(C.latest_by_url(log.filter("seq % 2 = 0")), log.filter("seq % 2 = 1 AND page_id % 3 = 0"))
+    return C.upsert(C.latest_by_url(log.filter("seq % 2 = 0")), log.filter("seq % 2 = 1"))
 
 
 @query
@@ -164,12 +173,12 @@ def apply_log(spark, d):
 @query
 def delete_by_url(spark, d):
     log = V.captures(spark, d)
-    return C.delete_by_url(C.latest_by_url(log.filter("op = 'index'")), log.filter("op = 'delete' AND user_id % 4 = 0"))
+    return C.delete_by_url(C.latest_by_url(log.filter("op = 'index'")), log.filter("op = 'delete'"))
 
 
 @query
 def update_postings(spark, d):
-    idx = V.index(spark, d)
+    idx = V.records(spark, d)
     p = Q.build_postings(idx, FIELDS)
     changed = idx.filter("page_id % 7 = 3").withColumns({"title": F.concat("title", F.lit(" "), "description"), "description": F.col("title")})
     return Q.update_postings(p, changed, Q.build_postings(changed, FIELDS)).select("field", "term", "id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagetrail.functions import scalars as S
 from pagetrail.operators import pages as P
 from pagetrail.operators.changes import latest_by_url
+from pagetrail.sources.scratch import written
 
 AS_OF, LOCAL = 1_705_276_800, "host0"
 HOSTS = ("host0", "host1", "host2")
@@ -71,6 +72,21 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(S.page_id(F.col("url")).alias("id"), "page_id", "url", P.title_choice(F.col("title"), F.col("h1"), F.lit(None).cast("string")).alias("title"), P.description(F.col("body")).alias("description"), "body", F.lit(1_704_067_200).cast("long").alias("base")).withColumn("timestamp", F.col("base") + F.col("page_id") * 60).drop("base")
 
 
+def corpus(idx: DataFrame) -> dict[str, DataFrame]:
+    """What the keywords of pages rest on, written: counts (terms of each page), terms, direct, partners."""
+    counts = written(P.term_counts(idx, "id", "body"), "counts")
+    terms = written(P.corpus_terms(counts, idx), "terms")
+    direct = written(P.weighted_terms(counts, terms), "direct")
+    return {"counts": counts, "terms": terms, "direct": direct, "partners": written(P.keyword_partners(direct), "partners")}
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """index() with up to 25 direct and 25 related keywords as texts, written."""
+    idx = written(index(spark, sf_dir), "index")
+    c = corpus(idx)
+    return written(P.with_keywords(idx, c["direct"], P.related_keywords(c["direct"], c["counts"], partners=c["partners"])), "records")
+
+
 def queries(idx: DataFrame) -> DataFrame:
     """Every page whose number is divisible by 100 asks with the words of its title."""
     words = S.tokens(F.col("title"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail import schemas
+from pagetrail.operators import search
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -24,10 +25,39 @@ def read_contents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
-def write_index(postings: DataFrame, path: str, buckets: int = 32) -> None:
-    """Postings by field, terms hashed into files and sorted inside; a snapshot goes to a path of its own."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the index versions at path whose last table is complete."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    found = [int(n.removeprefix("version-")) for n in names if n.startswith("version-")]
+    return sorted(n for n in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version-{n}/fields/_SUCCESS")))
+
+
+def write_index(postings: DataFrame, path: str, buckets: int | None = None) -> int:
+    """A new version of the index at path: postings by field, terms hashed into files and sorted inside, and their statistics.
+
+    Readers see it once its last table is complete; those that opened an earlier version keep it.
+    """
+    spark = postings.sparkSession
+    number = max(_versions(spark, path), default=-1) + 1
+    at, buckets = f"{path}/version-{number}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    placed.repartition(buckets, "field", "bucket").sortWithinPartitions("field", "term", "id").drop("bucket").write.partitionBy("field").parquet(path)
+    placed.repartition(buckets, "field", "bucket").sortWithinPartitions("field", "term", "id").drop("bucket").write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
+    stored = spark.read.parquet(f"{at}/postings")
+    search.term_stats(stored).write.mode("overwrite").parquet(f"{at}/terms")
+    search.doc_stats(stored).write.mode("overwrite").parquet(f"{at}/docs")
+    search.field_stats(spark.read.parquet(f"{at}/docs")).write.mode("overwrite").parquet(f"{at}/fields")
+    return number
+
+
+def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(postings, statistics for search) of the newest complete version."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no complete index at {path}")
+    at = f"{path}/version-{found[-1]}"
+    return spark.read.parquet(f"{at}/postings"), {name: spark.read.parquet(f"{at}/{name}") for name in ("docs", "fields", "terms")}
 
 
 def store_contents(contents: DataFrame, stored: DataFrame | None = None) -> DataFrame:
