@@ -1,4 +1,9 @@
-"""Users, sessions, access."""
+"""Users, sessions, access.
+
+Defined results: a null key, host, user or name matches nothing; a session of a user who is gone has a
+null username; repeated requests are answered each; empty tables give empty results; columns that an
+operator does not name are carried along where it returns the rows themselves.
+"""
 
 from __future__ import annotations
 
@@ -77,3 +82,10 @@ def bump_counters(users: DataFrame, uses: DataFrame) -> DataFrame:
 def add_sessions(sessions: DataFrame, new: DataFrame, ttl: int = TTL) -> DataFrame:
     """sessions and those of new(key, host, user_id, creation_datetime), which last ttl seconds."""
     return sessions.unionByName(new.withColumn("expires_at_datetime", F.col("creation_datetime") + ttl).select(*sessions.columns))
+
+
+def add_users(users: DataFrame, new: DataFrame) -> DataFrame:
+    """users and those of new, with no invite used; a username that exists, or comes again with a larger id, adds nothing."""
+    first = new.groupBy("username").agg(F.min_by(F.struct(*[new[c] for c in new.columns]), "id").alias("row")).select("row.*")
+    fresh = first.join(users.select("username"), "username", "left_anti").withColumn("invite_counter", F.lit(0))
+    return users.unionByName(fresh.select(*[F.col(c).cast(users.schema[c].dataType) for c in users.columns]))

@@ -1,4 +1,9 @@
-"""Upserts, deletes and folds of the capture log."""
+"""Upserts, deletes and folds of the capture log.
+
+Defined results: a null URL is a URL of its own in `latest_by_url` and matches nothing in deletes and
+lookups; of rows with one URL and seq any may stay, a null seq loses; repeated rows count once; empty
+tables give empty results; columns are kept in the order of the first table.
+"""
 
 from __future__ import annotations
 

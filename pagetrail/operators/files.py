@@ -1,4 +1,9 @@
-"""Content-addressed files."""
+"""Content-addressed files.
+
+Defined results: files with a null hash are one content; of uploads with one hash the smallest id is
+the first, and rows that repeat it are first each; a null is_public counts as no metadata in access;
+empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +18,16 @@ def file_dedup(files: DataFrame) -> DataFrame:
     return joined.select("id", "hash", F.col("stored.id").alias("stored_id"), F.col("stored.filename").alias("stored_filename"), (F.col("id") == F.col("stored.id")).alias("is_first"))
 
 
+def first_files(files: DataFrame) -> DataFrame:
+    """The first upload of each hash, by partial aggregates."""
+    return files.groupBy("hash").agg(F.min_by(F.struct(*[files[c] for c in files.columns]), "id").alias("row")).select("row.*")
+
+
+def add_files(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """stored and the first upload of each hash of new that is not there yet."""
+    return stored.unionByName(first_files(new).join(stored.select("hash"), "hash", "left_anti").select(*stored.columns))
+
+
 def visible_files(files: DataFrame, public_only: bool) -> DataFrame:
     return files.filter("is_public = 1") if public_only else files
 

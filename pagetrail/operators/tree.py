@@ -1,4 +1,8 @@
-"""The invite tree: children, depth, descendants, deletion."""
+"""The invite tree: children, depth, descendants, deletion.
+
+Defined results: a parent that is null, 0 or gone makes a root; users on a cycle have no depth and end
+a walk; repeated ids count once in walks; an empty table gives no rows and 0 levels.
+"""
 
 from __future__ import annotations
 

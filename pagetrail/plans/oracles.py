@@ -203,9 +203,21 @@ FROM events LEFT JOIN v_files ON id = event_id * 3""",
     "annotation_parse": """SELECT event_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS title, CASE WHEN event_id % 5 > 0 THEN event_type || ' ' || CAST(user_id AS VARCHAR) END AS direct_keywords,
        CASE WHEN event_id % 5 > 0 THEN '' END AS related_keywords, CASE WHEN event_id % 5 > 0 THEN '' END AS description, event_id % 5 > 0 AS parsed FROM events""",
     "stream_log": f"WITH {CAPTURES}, l AS (SELECT * FROM v_captures {LATEST}) SELECT * FROM l WHERE op = 'index'",
-    "stream_ingest": f"""WITH {INDEX}, {CAPTURES}, l AS (SELECT url, ts, user_id, seq FROM v_captures WHERE op = 'index' {LATEST})
-SELECT id, url, title, description, ts AS "timestamp", user_id, seq FROM l JOIN idx USING (url)""",
+    "stream_ingest": f"""WITH {RECORDS}, {CAPTURES}, l AS (SELECT url, ts, user_id, seq FROM v_captures WHERE op = 'index' {LATEST})
+SELECT id, url, title, description, direct_keywords, related_keywords, ts AS "timestamp", user_id, seq FROM l JOIN rec USING (url)""",
+    "stream_postings": f"""WITH {RECORDS}, {CAPTURES}, rl AS (SELECT * FROM rec WHERE url IN (SELECT url FROM v_captures WHERE op = 'index')), {_post('rl')} {POSITIONS} FROM post""",
+    "add_users": f"""WITH {USERS} SELECT id, parent_id, username, creation_datetime, CAST(invite_counter AS INTEGER) AS invite_counter FROM v_users
+UNION ALL SELECT CAST(s_suppkey + 1000000 AS BIGINT), 1, 's' || CAST(s_suppkey AS VARCHAR), 1705276800, 0 FROM supplier""",
+    "add_files": f"""WITH {FILES}, f AS (SELECT *, row_number() OVER (PARTITION BY hash, id % 2 ORDER BY id) AS k FROM v_files)
+SELECT id, hash, filename, size, is_public FROM f WHERE k = 1 AND (id % 2 = 0 OR hash NOT IN (SELECT hash FROM v_files WHERE id % 2 = 0))""",
+    "chained_hash": """SELECT doc_id AS id, CASE WHEN t = '' THEN '' ELSE lower(hex(list_reduce(
+  list_transform(range(CAST(ceil(octet_length(encode(t)) / 1024) AS BIGINT)), lambda i: unhex(sha256(array_slice(encode(t), i * 1024 + 1, (i + 1) * 1024)))),
+  lambda a, c: unhex(sha256(a || c)), ''::BLOB))) END AS chained FROM (SELECT doc_id, text AS t FROM documents)""",
+    "annotate_hook": f"""WITH {TEXT} SELECT page_id, 'page' AS direct_keywords, CAST(length(CASE WHEN page_id % 2 = 0 THEN 'Annotate the page ' || url || ' titled ' || title ELSE 'Annotate the image captured at ' || url END
+  || '. Answer with title, up to 25 direct_keywords, up to 25 related_keywords and a short description as JSON.') AS VARCHAR) AS title FROM pd""",
     "stream_recent": f"WITH {CAPTURES} SELECT * FROM v_captures WHERE op = 'index' ORDER BY seq DESC LIMIT 15",
     "stream_sessions": f"""WITH {REQUESTS}, {SESSIONS} SELECT request_id, r.ts, s.user_id AS session_user FROM v_requests r JOIN v_sessions s
 ON s.key = split_part(session_key, '@', 1) AND s.host = split_part(session_key, '@', 2) WHERE r.ts >= s.creation_datetime AND s.expires_at_datetime > r.ts""",
 }
+ORACLES["search_json"] = f"""SELECT query_id, to_json({{'search_results': list({{'score': score, 'doc': {{'title': title, 'description': description, 'timestamp': "timestamp", 'url': url}}}} ORDER BY rank)}}) AS result
+FROM ({ORACLES['search_any']}) GROUP BY query_id"""
