@@ -222,4 +222,21 @@ def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_minhash_bayes": op6_minhash_bayes}
-ORACLES: dict[str, str] = {}
+#: By brute force: all pairs that share a shingle, then reachability; for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+u AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS m, any_value(y.n) AS n, count(*) AS both_ FROM u x JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+  WHERE 100 * both_ >= 85 * (m + n - both_)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST(least(doc_id, coalesce(b, doc_id)) AS BIGINT) AS component_id, doc_id <= coalesce(b, doc_id) AS kept
+FROM s LEFT JOIN c ON a = doc_id
+"""
+ORACLES = {"op6_minhash_bayes": SQL}

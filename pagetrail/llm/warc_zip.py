@@ -29,6 +29,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetrail.llm.bloom import joined_few, probed
 from pagetrail.llm.shared import fresh_path, table, written
 
 ARCHIVE_BYTES, MIN_BYTES = 32 << 20, 100
@@ -42,9 +43,30 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha2(F.col("html").cast("binary"), 256)})
-    same = rows.select("page_id", "bytes", "digest").filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    light = written(rows.drop("html"), "digests")
+    same = light.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     same = written(same.filter("n > 1 AND first IS NOT NULL").select("digest", "first"), "payloads")
-    return rows.join(same, "digest", "left").withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).withColumn("html", F.when(F.col("first").isNull(), F.col("html")))
+    revisits = written(light.join(same, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))), "revisits")
+    # payloads stay where they are read: a row that is surely no revisit needs no join, and of the others
+    # only those that the filter took for one by mistake move
+    name, keys = F.xxhash64("page_id", "digest"), ["page_id", "digest"]
+    taken = revisits.select(*keys).distinct()
+    named = written(taken.select(name.alias("name")), "names")
+    responses = probed(rows.withColumn("name", name), "name", named, "name").filter("NOT maybe")
+    doubtful = probed(light.withColumn("name", name), "name", named, "name").filter("maybe").select(*keys).distinct()
+    mistaken = written(joined_null_safe(doubtful, taken, keys), "mistaken")
+    columns = ["page_id", "url", "html", "bytes", "digest", "first"]
+    out = responses.unionByName(joined_few(rows, mistaken, keys, "inner"), allowMissingColumns=True).withColumn("first", F.lit(None).cast("long")).select(*columns)
+    return out.unionByName(revisits.withColumn("html", F.lit(None).cast("string")).select(*columns))
+
+
+def joined_null_safe(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows without those of gone; null keys are equal."""
+    other = gone.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(other[f"__{k}"])
+    return rows.join(other, same, "left_anti")
 
 
 def record(page_id: int | None, url: str | None, html: str | None, size: int, digest: str, first: int | None) -> bytes:

@@ -96,6 +96,25 @@ def test_archives(spark, tmp_path):
     assert empty.count() == 0 and warc_zip.read_archives(empty).count() == 0
 
 
+def test_a_common_payload_without_broadcasts(spark):
+    rng = [f"{k}" * 120 for k in range(40)]
+    rows = [(i, f"u{i}", "common " * 50 if i % 3 == 0 else rng[i % 40] if i % 2 else f"own {i} " * 30) for i in range(2000)] + [(None, "n", "common " * 50), (6, "again", "common " * 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    at = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = warc_zip.decided(pages).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
+    first, seen = {}, defaultdict(int)
+    for i, _, html in rows:
+        seen[html] += 1
+        if i is not None:
+            first[html] = min(first.get(html, i), i)
+    want = [(i, u, None, first[h]) if seen[h] > 1 and i != first[h] else (i, u, h, None) for i, u, h in rows]
+    assert sorted(((r.page_id, r.url, r.html, r["first"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_zip64_directory(tmp_path):
     import zipfile
 
