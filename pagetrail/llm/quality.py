@@ -64,6 +64,23 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def loss(score: np.ndarray, y: np.ndarray, theta: np.ndarray) -> float:
+    """Mean negative logarithm of the likelihood of grades y."""
+    edges = np.r_[-np.inf, theta, np.inf]
+    return float(-np.log(_sigmoid(edges[y + 1] - score) - _sigmoid(edges[y] - score)).mean())
+
+
+def slopes(score: np.ndarray, y: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of loss() by each score and by each threshold."""
+    top = len(theta)
+    upper = np.where(y < top, _sigmoid(theta[np.minimum(y, top - 1)] - score), 1.0)
+    lower = np.where(y > 0, _sigmoid(theta[np.maximum(y - 1, 0)] - score), 0.0)
+    p = (upper - lower).clip(1e-12)
+    up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
+    by = np.bincount(np.minimum(y, top - 1), -up * (y < top), top) + np.bincount(np.maximum(y - 1, 0), low * (y > 0), top)
+    return (up - low) / len(y), by / len(y)
+
+
 @dataclass
 class Ordinal:
     """Fitted by AdaGrad on the likelihood of the grades; x is binary, so w.x is a sum of weights."""
@@ -84,18 +101,11 @@ class Ordinal:
                 part = mixed[i : i + batch]
                 ids, sizes = np.concatenate([rows[j] for j in part]), np.array([len(rows[j]) for j in part])
                 score = np.add.reduceat((self.weights * scale)[ids], np.r_[0, np.cumsum(sizes)[:-1]])
-                theta = base + np.r_[0, np.cumsum(np.exp(steps))]
-                upper = np.where(y[part] < self.grades - 1, _sigmoid(theta[np.minimum(y[part], self.grades - 2)] - score), 1.0)
-                lower = np.where(y[part] > 0, _sigmoid(theta[np.maximum(y[part] - 1, 0)] - score), 0.0)
-                p = (upper - lower).clip(1e-12)
-                up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
-                slope = np.repeat((up - low) / len(part), sizes)  # d(-log p)/d(score)
-                gradient = np.bincount(ids, slope, BUCKETS) * scale + ridge * self.weights
+                slope, tail = slopes(score, y[part], base + np.r_[0, np.cumsum(np.exp(steps))])
+                gradient = np.bincount(ids, np.repeat(slope, sizes), BUCKETS) * scale + ridge * self.weights
                 sums += gradient**2
                 self.weights -= rate * gradient / np.sqrt(sums)
-                by = np.bincount(np.minimum(y[part], self.grades - 2), -up * (y[part] < self.grades - 1), self.grades - 1) + np.bincount(np.maximum(y[part] - 1, 0), low * (y[part] > 0), self.grades - 1)
-                by /= len(part)
-                tail = np.cumsum(by[::-1])[::-1]
+                tail = np.cumsum(tail[::-1])[::-1]  # a threshold moves all above it
                 base_sum, step_sums = base_sum + tail[0] ** 2, step_sums + (tail[1:] * np.exp(steps)) ** 2
                 base -= rate * tail[0] / np.sqrt(base_sum)
                 steps -= rate * tail[1:] * np.exp(steps) / np.sqrt(step_sums)
@@ -126,7 +136,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
-    """A model from at most `sample` rows of grades(doc_id, grade); of rows that share an id one is used."""
+    """A model from at most `sample` rows of grades(doc_id, grade); of rows that share an id the one with the smallest features is used."""
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("label_id"), "grade")
 
     def run(batches: Iterator) -> Iterator:
@@ -139,7 +149,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str =
     # the chosen labels are bounded by the sample, and so is what comes back
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
     made = picked.select("label_id", "grade", "text").mapInArrow(run, "label_id long, grade int, ids array<int>")
-    got = made.dropDuplicates(["label_id"]).select("grade", "ids").toArrow()
+    got = made.groupBy("label_id").agg(F.min(F.struct("grade", "ids")).alias("m")).select("m.grade", "m.ids").toArrow()
     y = np.array(got.column("grade").to_pylist(), np.int64)
     if not len(y):
         return None

@@ -8,7 +8,8 @@ are never shuffled.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no rule and is in no
 list; ties between rules of one length cannot arise, as both would be the same suffix and prefix;
-repeated rows are judged alike; an empty list blocks nothing; other columns are not read.
+repeated rows are judged alike; an empty list blocks nothing; other
+columns are carried along, and one named `url_verdict` is replaced.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     """
     keys = written(listed.select(canonical(F.col(listed_col)).alias("key")).filter("key IS NOT NULL").distinct(), "listed")
     url = pages[url_col].cast("string")
-    judged = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"))
+    judged = pages.select(F.struct(*[pages[c] for c in pages.columns if c != "url_verdict"]).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"))
     judged = judged.withColumns({
         "rule": by_rule(F.col("host"), F.col("path"), rules, lambda r: r[1] + r[2]),
         "verdict": by_rule(F.col("host"), F.col("path"), rules, lambda r: r[0]),

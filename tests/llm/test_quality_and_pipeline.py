@@ -19,13 +19,52 @@ def test_held_out(spark):
     assert means[0] < means[1] < means[2]
 
 
-def test_gradient_is_that_of_the_likelihood():
+def test_slopes_are_finite_differences():
+    rng = np.random.default_rng(0)
+    score, y, theta, step = rng.normal(size=50) * 2, rng.integers(0, 3, 50), np.array([-0.7, 0.9]), 1e-6
+    by_score, by_theta = quality.slopes(score, y, theta)
+    for k in range(50):
+        move = step * (np.arange(50) == k)
+        assert abs((quality.loss(score + move, y, theta) - quality.loss(score - move, y, theta)) / (2 * step) - by_score[k]) < 1e-7
+    for k in range(2):
+        move = step * (np.arange(2) == k)
+        assert abs((quality.loss(score, y, theta + move) - quality.loss(score, y, theta - move)) / (2 * step) - by_theta[k]) < 1e-7
+
+
+def test_fit_lowers_the_loss():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 40, 6)).astype(np.int32) for _ in range(400)]
     y = np.array([min(2, int((r < 10).sum())) for r in rows])
     model = quality.Ordinal().fit(rows, y)
     score = np.array([model.weights[r].sum() for r in rows])
-    assert np.corrcoef(score, y)[0, 1] > 0.8
+    share = np.cumsum(np.bincount(y)[:-1]) / len(y)
+    assert quality.loss(score, y, model.thresholds) < 0.75 * quality.loss(np.zeros(400), y, np.log(share / (1 - share)))
+
+
+def test_op1_by_brute_force(spark, small):
+    """Every document scored by a plain loop over its features with the fitted weights."""
+    docs, grades = table(spark, small, "documents"), quality.graded(table(spark, small, "labels"))
+    model = quality.fit(docs, grades)
+    got = {r.doc_id: r for r in quality.op1_ordinal_quality(spark, small).collect()}
+    for d in docs.collect():
+        score = sum(float(np.float32(model.weights[k])) for k in quality.features(d.text))
+        tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        r = got.pop(d.doc_id)
+        assert abs(r.tail_probability - tails[-1]) < 2e-6 and abs(r.expected_grade - sum(tails)) < 3e-6 and r.kept == (r.tail_probability >= 0.5)
+    assert not got
+
+
+ODD = [(1, None, 7, "a"), (None, "x y z", 1, "b"), (2, "", 1, None), (2, "", 1, None), (3, "word " * 40_000, 1, "c"), (4, "some words of a text", 2, "d"), (4, "some words of a text", 2, "d")]
+
+
+@pytest.mark.parametrize("rows,labels", [(ODD, [(4, 1, 0), (1, 0, 1), (None, 1, 0)]), (ODD, []), ([], [])])
+def test_pipeline_odd_rows(spark, tmp_path, rows, labels):
+    spark.createDataFrame(rows, "doc_id long, text string, label_id int, spans string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(0 < r.length <= 2048 for r in out)
+    if rows and not labels:  # nothing is rejected; a text's copies leave one row, or several with equal ids
+        assert {r.doc_id for r in out} == {2, None, 3, 4}
 
 
 def test_odd_rows(spark):
