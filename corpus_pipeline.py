@@ -3,6 +3,11 @@
 The quality classifier rejects documents; of exact copies one stays, then one of each group of near
 copies (five words, similarity 0.8); passages of about 50 words and more that repeat are cut from the
 texts; what is left is packed into sequences.
+
+Defined results: null text counts as empty, and all empty texts are copies of one another; a null id
+stays only where its copies have none, and is in no group of near copies; rows that repeat id and text
+stay together; columns are carried along up to packing, whatever their names, and `n_chars` follows the
+text where there is one; without labels nothing is rejected; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +39,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup(docs, length=PASSAGE).withColumn("n_chars", F.length("text").cast("long"))
+    out = suffix_dedup(docs, length=PASSAGE)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
