@@ -71,8 +71,8 @@ def forward(coordinates: int) -> list[tuple[int, ...]]:
     return [t for t in map(tuple, grid.tolist()) if t >= zero]
 
 
-def placed(classes: DataFrame, cosine: float) -> DataFrame:
-    """A row for each block and cell that a class must be seen in; own: the cell is its own."""
+def placed(classes: DataFrame, cosine: float, kind: str) -> DataFrame:
+    """A row for each block and cell that a class must be seen in; own: the cell is its own; kind: type of a component."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -89,7 +89,7 @@ def placed(classes: DataFrame, cosine: float) -> DataFrame:
                             key = key * 65_536 + (at[:, k] + step[k] + 32_768) % 65_536
                         yield pd.DataFrame({"label": part["label"], "dims": dims, "block": b, "cell": key, "own": not any(step), "class": part["class"], "copies": part["copies"], "vector": part["vector"]})
 
-    return classes.mapInPandas(run, "label long, dims int, block int, cell long, own boolean, class long, copies long, vector array<double>")
+    return classes.mapInPandas(run, f"label long, dims int, block int, cell long, own boolean, class long, copies long, vector array<{kind}>")
 
 
 def linked(own: np.ndarray, chunk: np.ndarray, low: int, high: int, block: int, rep: np.ndarray, copies: np.ndarray, vectors: np.ndarray, cosine: float):
@@ -162,7 +162,9 @@ def groups_of(batches: Iterator, keys: int) -> Iterator:
 
 def vector_links(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: a row per vector."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    # single precision travels as such; every computation is in double
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = finite & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
@@ -173,7 +175,7 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHUNK,
     sizes = classes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"))
     more = F.floor(F.log(float(GROWTH), F.greatest(F.col("n") / FIRST_GRID, F.lit(1.0)))) + 1
     sizes = sizes.select("label", "dims", F.least(more, F.lit(MOST_COORDINATES)).cast("int").alias("coordinates"))
-    seen = placed(classes.join(sizes, ["label", "dims"]).select("label", "dims", "coordinates", "class", "copies", "vector"), cosine)
+    seen = placed(classes.join(sizes, ["label", "dims"]).select("label", "dims", "coordinates", "class", "copies", "vector"), cosine, kind)
 
     key = ["label", "dims", "block", "cell"]
     seen = written(seen, "cells")
