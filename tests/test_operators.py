@@ -165,3 +165,43 @@ def test_updated_postings_are_rebuilt_ones(spark, index):
     updated = search.update_postings(search.build_postings(index, fields), new, search.build_postings(new, fields))
     rebuilt = search.build_postings(index.filter("id >= 2").unionByName(new), fields)
     assert sorted(map(repr, updated.collect())) == sorted(map(repr, rebuilt.collect()))
+
+
+def test_index_versions(spark, index, tmp_path):
+    path = f"file://{tmp_path}/index"
+    with pytest.raises(FileNotFoundError):
+        tables.open_index(spark, path)
+    fields = ("title", "description")
+    assert tables.write_index(search.build_postings(index, fields), path) == 0
+    old, stats = tables.open_index(spark, path)
+    asked = spark.createDataFrame([(1, "fox red")], "query_id long, text string")
+    want = sorted(map(tuple, search.scored(search.build_postings(index, fields), asked).collect()))
+    assert sorted(map(tuple, search.scored(old, asked, stats=stats).collect())) == want
+    assert tables.write_index(search.build_postings(index.filter("id < 2"), fields), path) == 1
+    assert {r.id for r in tables.open_index(spark, path)[0].collect()} == {0, 1} and {r.id for r in old.collect()} == {0, 1, 2, 4}
+    (tmp_path / "index" / "version-1" / "fields" / "_SUCCESS").unlink()  # a version that was not finished
+    assert {r.id for r in tables.open_index(spark, path)[0].collect()} == {0, 1, 2, 4}
+
+
+def test_added_users_and_files(spark, family):
+    new = spark.createDataFrame([(11, 2, "a", 5, "", ""), (13, 2, "z", 5, "s", "i"), (12, 2, "z", 6, "t", "j")], "id long, parent_id long, username string, creation_datetime long, secret string, invite_secret string")
+    out = accounts.add_users(family, new)
+    assert out.count() == 11 and [tuple(r) for r in out.filter("username = 'z'").collect()] == [(12, 2, "z", 6, "t", "j", 0)]
+    f = spark.createDataFrame([(1, "h", "a", 0, 1, 1)], schemas.FILES)
+    more = spark.createDataFrame([(2, "h", "b", 0, 1, 1), (4, "g", "d", 0, 1, 1), (3, "g", "c", 0, 1, 0)], schemas.FILES)
+    assert sorted(r.id for r in files.add_files(f, more).collect()) == [1, 3] and files.add_files(f, more.limit(0)).count() == 1
+
+
+def test_sources_have_fixed_schemas(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "u", "t", "b", 1, 5, True, bytearray(b"i"), "f.jpg", "index")], schemas.CAPTURES)
+    rows.write.json(str(tmp_path / "json"))
+    rows.write.parquet(str(tmp_path / "parquet"))
+    assert [tuple(r) for r in tables.read_captures(spark, str(tmp_path / "parquet")).collect()] == [tuple(r) for r in rows.collect()]
+    assert tables.read_captures(spark, str(tmp_path / "json"), "json").select("seq", "url", "op").collect() == rows.select("seq", "url", "op").collect()
+    assert tables.read_table(spark, str(tmp_path / "parquet"), "url string, missing int").collect()[0].asDict() == {"url": "u", "missing": None}
+
+
+def test_prompt(spark):
+    df = spark.createDataFrame([("T", "u", True), ("T", "u", False)], "t string, u string, s boolean")
+    got = [r.p for r in df.select(S.prompt(F.col("t"), F.col("u"), F.col("s")).alias("p")).collect()]
+    assert got[0].startswith("Annotate the page u titled T. ") and got[1].startswith("Annotate the image captured at u. ")
