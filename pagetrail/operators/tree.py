@@ -1,7 +1,7 @@
 """The invite tree: children, depth, descendants, deletion.
 
 Defined results: a parent that is null, 0 or gone makes a root; users on a cycle have no depth and end
-a walk; repeated ids count once in walks; an empty table gives no rows and 0 levels.
+a walk; repeated ids count once in walks, by the nearest of their parents; an empty table gives no rows and 0 levels.
 """
 
 from __future__ import annotations
@@ -23,26 +23,35 @@ def attached(users: DataFrame) -> DataFrame:
     return users.select("id", "parent_id").join(parents, F.col("parent_id") == F.col("parent"), "left").select("id", "parent")
 
 
-def _levels(edges: DataFrame, first: DataFrame) -> DataFrame:
-    """id, depth from first(id) down edges(id, parent); a join a level, none is visited twice, so cycles end."""
-    seen = level = written(first.select("id", F.lit(0).alias("depth")), "level")
+def _steps_up(edges: DataFrame, stops: DataFrame) -> DataFrame:
+    """id, depth: the steps from each id up edges(id, parent) to the nearest of stops(id), these included.
+
+    Pointer doubling: round k holds, for ids not done, the user 2^k steps up, and finds all depths from 2^k
+    to 2^(k+1) - 1 by one join. A round that finds none has found all there are, cycles or not.
+    """
+    found = stops = written(stops.select("id", F.lit(0).alias("depth")).distinct(), "depths")
+    ups = written(edges.join(stops, "id", "left_anti").select("id", F.col("parent").alias("up")).distinct(), "ups")
+    step = 1
     while True:
-        below = edges.join(level.select(F.col("id").alias("parent"), "depth"), "parent").groupBy("id").agg((F.min("depth") + 1).alias("depth"))
-        level = written(below.join(seen.select("id"), "id", "left_anti").select("id", "depth"), "level")
-        if level.limit(1).count() == 0:
-            return seen
-        seen = seen.unionByName(level)
+        above = found.select(F.col("id").alias("up"), F.lit(None).cast("long").alias("next"), "depth")
+        above = above.unionByName(ups.select(F.col("id").alias("up"), F.col("up").alias("next"), F.lit(None).cast("int").alias("depth")))
+        met = ups.join(above, "up").groupBy("id", "next").agg((F.min("depth") + step).alias("depth"))
+        met = written(met, "met")
+        new = met.filter("depth IS NOT NULL").select("id", "depth")
+        if new.limit(1).count() == 0:
+            return found.groupBy("id").agg(F.min("depth").alias("depth"))
+        found, ups, step = found.unionByName(new), met.filter("depth IS NULL").select("id", F.col("next").alias("up")), 2 * step
 
 
 def depths(users: DataFrame) -> DataFrame:
     """id, depth; roots have no existing parent and depth 0. Users on a cycle have no depth."""
     edges = written(attached(users), "tree")
-    return _levels(edges.filter("parent IS NOT NULL"), edges.filter("parent IS NULL").select("id").distinct())
+    return _steps_up(edges.filter("parent IS NOT NULL"), edges.filter("parent IS NULL"))
 
 
 def descendants(users: DataFrame, ids: DataFrame) -> DataFrame:
     """id, depth below the nearest of ids(id), these included."""
-    return _levels(users.select("id", F.col("parent_id").alias("parent")), ids.select("id").distinct())
+    return _steps_up(users.filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("parent")), ids)
 
 
 def tree_stats(users: DataFrame) -> DataFrame:

@@ -94,6 +94,16 @@ def test_tree(spark, family):
 def test_cycle_ends(spark):
     loop = users(spark, [(1, 3, "a", 0), (2, 1, "b", 0), (3, 2, "c", 0)])
     assert {r.id: r.depth for r in tree.descendants(loop, spark.createDataFrame([(1,)], "id long")).collect()} == {1: 0, 2: 1, 3: 2}
+    assert tree.depths(loop).count() == 0
+
+
+def test_deep_tree(spark):
+    chain = [(i, i - 1, "", 0) for i in range(1, 42)] + [(7, 3, "", 0), (50, 51, "", 0), (51, 50, "", 0), (52, 51, "", 0)]
+    deep = users(spark, chain)
+    # user 7 also has parent 3: what is below counts from there
+    assert {r.id: r.depth for r in tree.depths(deep).collect()} == {i: i - 1 if i < 7 else i - 4 for i in range(1, 42)}
+    two = spark.createDataFrame([(2,), (30,), (30,)], "id long")
+    assert {r.id: r.depth for r in tree.descendants(deep, two).collect()} == {i: i - 30 if i > 29 else i - 2 if i < 7 else i - 5 for i in range(2, 42)}
 
 
 def test_delete_users(spark, family):
