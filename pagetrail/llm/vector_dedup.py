@@ -3,8 +3,8 @@
 Unit vectors are rotated by a fixed orthogonal matrix and split into low-dimensional blocks. A pair
 within squared distance D (2 - 2 cosine) is within D * (block size / dimensions) in one block at
 least. So each block is range-joined on its own: a grid over its leading coordinates, as wide as the
-budget's root, brings pairs within the budget into one cell or two neighbouring ones. Of the union of
-candidates every pair is verified by its cosine in double precision, in the first block that
+budget's root twice, brings pairs within the budget into one cell or two neighbouring ones, and a class
+is seen in a neighbouring cell only if it lies in the half towards it. Of the union of candidates every pair is verified by its cosine in double precision, in the first block that
 proposes it and there alone, so links are counted without a list of pairs.
 
 Equal vectors are one numbered class with a count. Classes of a label that are many get a grid over
@@ -60,8 +60,17 @@ def budget(columns: np.ndarray, dims: int, cosine: float) -> float:
     return (2 - 2 * cosine) * len(columns) / dims + SLACK
 
 
-def cells(rotated: np.ndarray, columns: np.ndarray, width: float, coordinates: int) -> np.ndarray:
-    return np.floor(rotated[:, columns[:coordinates]] / width).astype(np.int64)
+def cells(rotated: np.ndarray, columns: np.ndarray, width: float, coordinates: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, place inside it from 0 to 1) by each coordinate."""
+    at = rotated[:, columns[:coordinates]] / width
+    cell = np.floor(at)
+    return cell.astype(np.int64), at - cell
+
+
+def towards(place: np.ndarray, step: tuple[int, ...]) -> np.ndarray:
+    """Whether a class lies in the half of its cell that a step's cell borders on."""
+    ways = np.array(step)
+    return (((ways <= 0) | (place >= 0.5 - SLACK)) & ((ways >= 0) | (place <= 0.5 + SLACK))).all(axis=1)
 
 
 def forward(coordinates: int) -> list[tuple[int, ...]]:
@@ -82,12 +91,14 @@ def placed(classes: DataFrame, cosine: float, kind: str) -> DataFrame:
                 rotated = turned(unit(np.stack(part["vector"].to_numpy())))
                 for b, columns in enumerate(block_columns(dims)):
                     used = min(coordinates, len(columns))
-                    at = cells(rotated, columns, math.sqrt(budget(columns, dims, cosine)), used)
+                    at, place = cells(rotated, columns, 2 * math.sqrt(budget(columns, dims, cosine)), used)
                     for step in forward(used):
                         key = np.zeros(len(part), np.int64)
                         for k in range(used):
                             key = key * 65_536 + (at[:, k] + step[k] + 32_768) % 65_536
-                        yield pd.DataFrame({"label": part["label"], "dims": dims, "block": b, "cell": key, "own": not any(step), "class": part["class"], "copies": part["copies"], "vector": part["vector"]})
+                        near = towards(place, step)
+                        seen = part[near]
+                        yield pd.DataFrame({"label": seen["label"], "dims": dims, "block": b, "cell": key[near], "own": not any(step), "class": seen["class"], "copies": seen["copies"], "vector": seen["vector"]})
 
     return classes.mapInPandas(run, f"label long, dims int, block int, cell long, own boolean, class long, copies long, vector array<{kind}>")
 
