@@ -9,19 +9,23 @@ parse. Corpus order of all windows is so the order of dictionary suffixes combin
 parse suffixes, and is built where it can matter only:
 
 1. every phrase start names its neighbourhood, from the phrase start before to `length` bytes on, by
-   hashes of its first `anchor` bytes and of the whole; neighbourhoods meet by the first hash. One
-   that occurs twice as a whole is repeated, one whose first hash occurs once is not, and nothing else
-   is left but the borders of repeated passages;
+   a rolling hash of its first `anchor` bytes and a digest of the whole (BLAKE2b, 128 bits);
+   neighbourhoods meet by the first. One that occurs twice as a whole is repeated, one whose first hash
+   occurs once is not, and nothing else is left but the borders of repeated passages;
 2. borders that share their first bytes meet in one task, which ranks their phrases (the dictionary),
    sorts their parses by those ranks (suffix array of the parse, with common prefixes) and their left
    parts from the right (suffix array of the dictionary, with common suffixes), and reads from both
    which windows occur twice, byte by byte;
-3. windows far from any phrase start (periodic text) go by the hash of the whole window.
+3. windows far from any phrase start (periodic text) go by the digest of the whole window.
 
-Where more than `HOT` different borders share their first bytes, their windows are counted by hash,
-with partial sums before the shuffle, in place of step 2.
+The rolling hashes only choose what is compared: where they collide, more is compared. What is removed
+has been found equal by its bytes or by its digest.
 
-Defined results: null counts as empty; texts shorter than `length` bytes lose nothing; matches never
+Where more than `HOT` different borders share their first bytes, their windows are counted by digest,
+with partial sums before the shuffle, in place of step 2; the outcome is the same.
+
+Defined results: null counts as empty; texts shorter than `length` bytes lose nothing; a text of any
+length is parsed and cut in one task, and its neighbourhoods are dealt like those of others; matches never
 cross documents; rows that repeat id and text are two occurrences of the same text, and both lose it;
 an empty table gives an empty result; `suffix_dedup` carries other columns along and keeps whole
 UTF-8 characters: one that is covered in part stays.
@@ -38,12 +42,10 @@ from pyspark.sql import functions as F
 
 from pagetrail.llm.batches import give_back, pieces
 from pagetrail.llm.bloom import joined_few
-from pagetrail.llm.hashing import mixed, prefix_sums, range_hashes
+from pagetrail.llm.hashing import prefix_sums, range_hashes
 from pagetrail.llm.shared import table, written
 
 LENGTH, TRIGGER, HOT = 400, 16, 20_000
-#: Shortest repeat that is reported without being removed: passages of over 50 words have more bytes.
-BRIEF = 250
 _TRIGGER_BYTES = np.random.default_rng(3).integers(0, 1 << 32, 256, np.uint32)
 _FAR = np.uint64(0xA5A5A5A5A5A5A5A5)
 
@@ -65,27 +67,33 @@ def anchor_bytes(length: int) -> int:
     return max(TRIGGER, length // 5)
 
 
-def neighbourhoods(raw: bytes, length: int, brief: int):
-    """(first hash, whole hash, place, bytes before, bytes after) of all neighbourhoods of at least `brief` bytes of a text."""
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of each range of bytes, as a row of two numbers."""
+    view, made = memoryview(raw), hashlib.blake2b
+    return np.frombuffer(b"".join([made(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+
+
+def neighbourhoods(raw: bytes, length: int):
+    """(first hash, digest of the whole in two parts, place, bytes before, bytes after) of all neighbourhoods of at least `length` bytes of a text."""
     data = np.frombuffer(raw, np.uint8)
     n, anchor = len(data), anchor_bytes(length)
     far = length - anchor
     starts, sums = phrase_starts(data, modulus_bits(length)), prefix_sums(data)
     previous = np.r_[-1, starts[:-1]] if len(starts) else starts
     before, after = np.minimum(starts - previous - 1, far), np.minimum(length, n - starts)
-    use = (after >= anchor) & (before + after >= brief)
+    use = (after >= anchor) & (before + after >= length)
     place, before, after = starts[use], before[use], after[use]
     first = range_hashes(sums, place, place + anchor)
-    whole = mixed(range_hashes(sums, place - before, place + after) + before.astype(np.uint64))
+    whole = digests(raw, place - before, place + after) ^ np.stack([before.astype(np.uint64), np.zeros(len(before), np.uint64)], axis=1)
     # window starts with no phrase start among their first bytes
     low, high = np.r_[0, starts + 1], np.minimum(np.r_[starts - far - 1, n - length], n - length)
     size = np.maximum(high - low + 1, 0)
     if size.any():
         p = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
         first = np.r_[first, range_hashes(sums, p, p + length) ^ _FAR]
-        whole = np.r_[whole, range_hashes(prefix_sums(data[::-1]), n - p - length, n - p)]  # backwards: a hash of its own
+        whole = np.concatenate([whole, digests(raw, p, p + length)])
         place, before, after = np.r_[place, p], np.r_[before, np.zeros(len(p), np.int64)], np.r_[after, np.full(len(p), length)]
-    return first, whole, place, before, after
+    return first, whole[:, 0], whole[:, 1], place, before, after
 
 
 def union(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,10 +109,8 @@ def union(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return doc[new], start[new], (reach - lift)[last]
 
 
-def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of each border: the numbers of left bytes, ascending, with which its window occurs in another border too;
-    left and right bytes of the longest string that it shares with a neighbour in either order.
-    """
+def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int) -> list[np.ndarray]:
+    """Of each border: the numbers of left bytes, ascending, with which its window occurs in another border too."""
     n = len(lefts)
     # dictionary: ranks of the distinct phrases of all right parts, each with the trigger after it
     parses = []
@@ -124,12 +130,6 @@ def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int) -> tu
     turned = [left[::-1] for left in lefts]
     by_left = np.array(sorted(range(n), key=turned.__getitem__), np.int64)
     suffix = common([turned[i] for i in by_left])
-    longest = np.zeros((2, n), np.int64)
-    for order, shared, other in ((by_right, prefix, common([turned[i] for i in by_right])), (by_left, suffix, common([rights[i] for i in by_left]))):
-        left, right = (other, shared) if order is by_right else (shared, other)
-        for here in (order[1:], order[:-1]):
-            better = (left + right)[1:] > longest[:, here].sum(axis=0)
-            longest[0, here], longest[1, here] = np.where(better, left[1:], longest[0, here]), np.where(better, right[1:], longest[1, here])
     size = np.array([len(x) for x in lefts])
     right_size = np.array([len(x) for x in rights])
     near = np.zeros(n, np.int64)
@@ -146,7 +146,7 @@ def repeated_windows(lefts: list[bytes], rights: list[bytes], length: int) -> tu
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         for i in active[count[inverse] > 1].tolist():
             found[i].append(left)
-    return [np.array(f, np.int64) for f in found], *longest
+    return [np.array(f, np.int64) for f in found]
 
 
 def common(strings: list[bytes]) -> np.ndarray:
@@ -163,16 +163,16 @@ def common(strings: list[bytes]) -> np.ndarray:
     return out
 
 
-#: kind 0: decided, bytes place to place + after; 3: so too, but shorter than a window; 1: a neighbourhood that a batch saw `times` (1, 2 or more);
+#: kind 0: decided, bytes place to place + after; 1: a neighbourhood that a batch saw `times` (1, 2 or more);
 #: 2: a border: a whole seen `times`, whose first bytes begin other wholes too.
-ROW = "kind int, first long, whole long, doc_id long, text_hash long, place int, before int, after int, times int"
+ROW = "kind int, first long, whole long, check long, doc_id long, text_hash long, place int, before int, after int, times int"
 
 
-def _rows(kind, first, whole, doc_id, text_hash, place, before, after, times):
+def _rows(kind, first, whole, check, doc_id, text_hash, place, before, after, times):
     import pyarrow as pa
 
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-    columns = [c if isinstance(c, np.ndarray) else np.full(len(doc_id), c) for c in (kind, first, whole, doc_id, text_hash, place, before, after, times)]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    columns = [c if isinstance(c, np.ndarray) else np.full(len(doc_id), c) for c in (kind, first, whole, check, doc_id, text_hash, place, before, after, times)]
     columns = [c.view(np.int64) if c.dtype == np.uint64 else c for c in columns]
     return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in ROW.split(", ")])
 
@@ -187,25 +187,27 @@ def key_columns(id_col: str, text_col: str):
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def parse(batches: Iterator, length: int, brief: int) -> Iterator:
+def parse(batches: Iterator, length: int) -> Iterator:
     """Neighbourhoods of the texts of a piece, each once; those seen twice are decided at once."""
     for batch in pieces(batches, 2):
         ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        found = [neighbourhoods(t.encode("utf-8", "replace"), length, brief) for t in batch.column(2).to_pylist()]
+        found = [neighbourhoods(t.encode("utf-8", "replace"), length) for t in batch.column(2).to_pylist()]
         if not found:
             continue
         doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        first, whole, place, before, after = (np.concatenate(c) for c in zip(*found, strict=True))
-        _, at, inverse, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-        twice = count[inverse] > 1
-        for kind, some in ((0, twice & (before + after >= length)), (3, twice & (before + after < length))):
-            d, start, end = union(doc[some], (place - before)[some], (place + after)[some])
-            yield _rows(kind, hashes[d], 0, ids[d], hashes[d], start, 0, end - start, 0)
-        yield _rows(1, first[at], whole[at], ids[doc[at]], hashes[doc[at]], place[at], before[at], after[at], np.minimum(count, 2))
+        first, whole, check, place, before, after = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((check, whole))
+        new = np.r_[True, (whole[order][1:] != whole[order][:-1]) | (check[order][1:] != check[order][:-1])][: len(order)]
+        at, group = order[new], np.cumsum(new) - 1
+        count = np.bincount(group, minlength=len(at))
+        some = order[count[group] > 1]
+        d, start, end = union(doc[some], (place - before)[some], (place + after)[some])
+        yield _rows(0, hashes[d], 0, 0, ids[d], hashes[d], start, 0, end - start, 0)
+        yield _rows(1, first[at], whole[at], check[at], ids[doc[at]], hashes[doc[at]], place[at], before[at], after[at], np.minimum(count, 2))
 
 
-def meet(batches: Iterator, length: int) -> Iterator:
-    """Decides wholes, leaves borders; rows come sorted by `first` and `whole`, and one `first` may fill any number of batches.
+def meet(batches: Iterator) -> Iterator:
+    """Decides wholes, leaves borders; rows come sorted by `first` and digest, and one `first` may fill any number of batches.
 
     A whole at the end of a batch waits for the next one, with what it must know of the rows before it.
     """
@@ -217,36 +219,36 @@ def meet(batches: Iterator, length: int) -> Iterator:
         if (done := np.flatnonzero(kind != 1)).size:
             yield batch.take(pa.array(done))
         if (rest := np.flatnonzero(kind == 1)).size:
-            rows = [batch.column(c).to_numpy()[rest] for c in range(1, 9)]
+            rows = [batch.column(c).to_numpy()[rest] for c in range(1, 10)]
             rows = [np.r_[h, r] for h, r in zip(held, rows, strict=True)] if held else rows
-            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
             keep = int(last[-1]) + 1 if len(last) else 0
             if not keep:
                 # many rows of one whole: all but two are decided, as there are two at least
                 if len(rows[0]) > 2:
-                    yield _settled([r[2:] for r in rows], length)
+                    yield _settled([r[2:] for r in rows])
                     rows = [r[:2] for r in rows]
                 held = rows
                 continue
-            yield from _decided([r[:keep] for r in rows], before_, rows[0][keep], length)
+            yield from _decided([r[:keep] for r in rows], before_, rows[0][keep])
             before_, held = rows[0][keep - 1], [r[keep:] for r in rows]
     if held:
-        yield from _decided(held, before_, None, length)
+        yield from _decided(held, before_, None)
 
 
-def _settled(rows: list[np.ndarray], length: int):
+def _settled(rows: list[np.ndarray]):
     """Those that occur again elsewhere; a batch of texts has decided its own repeats."""
-    _, _, doc_id, text_hash, place, before, after, times = (r[rows[7] == 1] for r in rows)
-    return _rows(np.where(before + after < length, 3, 0), text_hash, 0, doc_id, text_hash, place - before, 0, before + after, 0)
+    _, _, _, doc_id, text_hash, place, before, after, _ = (r[rows[8] == 1] for r in rows)
+    return _rows(0, text_hash, 0, 0, doc_id, text_hash, place - before, 0, before + after, 0)
 
 
-def _decided(rows: list[np.ndarray], earlier, later, length: int) -> Iterator:
+def _decided(rows: list[np.ndarray], earlier, later) -> Iterator:
     """Rows of whole wholes in order; earlier and later: the `first` of the wholes around them."""
-    first, whole, doc_id, text_hash, place, before, after, times = rows
-    new = np.r_[True, (first[1:] != first[:-1]) | (whole[1:] != whole[:-1])]
+    first, whole, check, doc_id, text_hash, place, before, after, times = rows
+    new = np.r_[True, (first[1:] != first[:-1]) | (whole[1:] != whole[:-1]) | (check[1:] != check[:-1])]
     at, of = np.flatnonzero(new), np.cumsum(new) - 1
     total = np.add.reduceat(times.astype(np.int64), at)
-    yield _settled([r[total[of] > 1] for r in rows], length)
+    yield _settled([r[total[of] > 1] for r in rows])
     f = first[at]
     other = np.r_[f[1:] == f[:-1], later is not None and f[-1] == later]
     other |= np.r_[earlier is not None and f[0] == earlier, f[1:] == f[:-1]]
@@ -257,7 +259,7 @@ def _decided(rows: list[np.ndarray], earlier, later, length: int) -> Iterator:
     lone[-1] |= later is not None and f[-1] == later
     other &= lone[group]
     b = at[other]
-    yield _rows(2, first[b], whole[b], doc_id[b], text_hash[b], place[b], before[b], after[b], np.minimum(total[other], 2))
+    yield _rows(2, first[b], whole[b], check[b], doc_id[b], text_hash[b], place[b], before[b], after[b], np.minimum(total[other], 2))
 
 
 BORDER = "first long, doc_id long, text_hash long, place int, lone boolean, left binary, right binary"
@@ -279,30 +281,28 @@ def borders(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in BORDER.split(", ")])
 
 
-INTERVAL = "doc_id long, text_hash long, start int, end int, brief boolean"
+INTERVAL = "doc_id long, text_hash long, start int, end int"
 
 
 def _intervals(rows: list[tuple]):
     import pyarrow as pa
 
-    columns = zip(*rows, strict=True) if rows else [()] * 5
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text_hash", "start", "end", "brief"])
+    columns = zip(*rows, strict=True) if rows else [()] * 4
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text_hash", "start", "end"])
 
 
-def ordered(batches: Iterator, length: int, brief: int, most: int = 4000) -> Iterator:
-    """Intervals of the lone borders whose windows occur twice, and brief ones of at least `brief` bytes; rows come sorted by `first`."""
+def ordered(batches: Iterator, length: int, most: int = 4000) -> Iterator:
+    """Intervals of the lone borders whose windows occur twice; rows come sorted by `first`."""
 
     def solve(group: list[tuple]):
         out = []
-        found = zip(group, *repeated_windows([r[5] for r in group], [r[6] for r in group], length), strict=True)
-        for (_, doc_id, text_hash, place, lone, _, _), lefts, before, after in found:
+        found = zip(group, repeated_windows([r[5] for r in group], [r[6] for r in group], length), strict=True)
+        for (_, doc_id, text_hash, place, lone, _, _), lefts in found:
             if lone and len(lefts):
                 gaps = np.flatnonzero(np.diff(lefts) > length)  # windows that touch are one interval
                 for a, b in zip(np.r_[0, gaps + 1], np.r_[gaps, len(lefts) - 1], strict=True):
-                    out.append((doc_id, text_hash, place - int(lefts[b]), place - int(lefts[a]) + length, False))
-            elif brief <= before + after < length:
-                out.append((doc_id, text_hash, place - int(before), place + int(after), True))
+                    out.append((doc_id, text_hash, place - int(lefts[b]), place - int(lefts[a]) + length))
         return _intervals(out)
 
     group: list[tuple] = []
@@ -317,36 +317,30 @@ def ordered(batches: Iterator, length: int, brief: int, most: int = 4000) -> Ite
     give_back()
 
 
-WINDOW = "h long, doc_id long, text_hash long, start int, size int, lone boolean"
+WINDOW = "whole long, check long, doc_id long, text_hash long, start int, lone boolean"
 
 
-def window_hashes(batches: Iterator, sizes: list[int]) -> Iterator:
-    """Every window of those sizes around hot borders by its hash."""
+def window_digests(batches: Iterator, length: int) -> Iterator:
+    """Every window around hot borders by its digest."""
     import pyarrow as pa
 
     for batch in batches:
         for _, doc_id, text_hash, place, lone, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            sums = prefix_sums(np.frombuffer(left + right, np.uint8))
-            for size in sizes:
-                shift = np.arange(max(0, size - len(right)), min(len(left), size) + 1)
-                if len(shift):
-                    start, n = len(left) - shift, len(shift)
-                    h = (range_hashes(sums, start, start + size) + np.uint64(size)).view(np.int64)
-                    columns = [h, np.full(n, doc_id), np.full(n, text_hash), (place - shift).astype(np.int32), np.full(n, size, np.int32), np.full(n, lone)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in WINDOW.split(", ")])
+            shift = np.arange(max(0, length - len(right)), min(len(left), length) + 1)
+            if len(shift):
+                start, n = len(left) - shift, len(shift)
+                whole = digests(left + right, start, start + length).view(np.int64)
+                columns = [whole[:, 0].copy(), whole[:, 1].copy(), np.full(n, doc_id), np.full(n, text_hash), (place - shift).astype(np.int32), np.full(n, lone)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in WINDOW.split(", ")])
 
 
-def repeats(rows: DataFrame, length: int = LENGTH, hot: int = HOT, brief: int | None = None) -> DataFrame:
-    """(doc_id, text_hash, start, end, brief): what windows that occur twice cover in rows from keyed(); intervals may overlap.
-
-    brief: also strings of at least so many bytes that borders share with others, marked `brief`.
-    """
-    brief = min(brief or length, length)
+def repeats(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """(doc_id, text_hash, start, end): what windows that occur twice cover in rows from keyed(); intervals may overlap."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = rows.select("doc_id", "text_hash", "text").filter(F.octet_length("text") >= brief)
-    parsed = texts.mapInArrow(lambda batches: parse(batches, length, brief), ROW)
-    met = written(parsed.repartition(n, "first").sortWithinPartitions("first", "whole").mapInArrow(lambda batches: meet(batches, length), ROW), "phrases")
-    decided = met.filter("kind <> 2").select("doc_id", "text_hash", F.col("place").alias("start"), (F.col("place") + F.col("after")).alias("end"), (F.col("kind") == 3).alias("brief"))
+    texts = rows.select("doc_id", "text_hash", "text").filter(F.octet_length("text") >= length)
+    parsed = texts.mapInArrow(lambda batches: parse(batches, length), ROW)
+    met = written(parsed.repartition(n, "first").sortWithinPartitions("first", "whole", "check").mapInArrow(meet, ROW), "phrases")
+    decided = met.filter("kind <> 2").select("doc_id", "text_hash", F.col("place").alias("start"), (F.col("place") + F.col("after")).alias("end"))
 
     asked = met.filter("kind = 2").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "place", "before", "after", "times")).alias("asked"))
     asked = written(asked, "asked")
@@ -354,34 +348,30 @@ def repeats(rows: DataFrame, length: int = LENGTH, hot: int = HOT, brief: int |
     many = written(found.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("first"), "many")
     any_ = many.limit(1).count() > 0
     cold = (found.join(many, "first", "left_anti") if any_ else found).repartition(n, "first").sortWithinPartitions("first")
-    by_order = cold.mapInArrow(lambda batches: ordered(batches, length, brief), INTERVAL)
+    by_order = cold.mapInArrow(lambda batches: ordered(batches, length), INTERVAL)
     out = decided.unionByName(by_order)
     if any_:
-        windows = written(found.join(many, "first", "left_semi").mapInArrow(lambda batches: window_hashes(batches, sorted({brief, length})), WINDOW), "windows")
-        twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-        out = out.unionByName(windows.filter("lone").join(twice, "h").select("doc_id", "text_hash", "start", (F.col("start") + F.col("size")).alias("end"), (F.col("size") < length).alias("brief")))
+        windows = written(found.join(many, "first", "left_semi").mapInArrow(lambda batches: window_digests(batches, length), WINDOW), "windows")
+        twice = windows.groupBy("whole", "check").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("whole", "check")
+        out = out.unionByName(windows.filter("lone").join(twice, ["whole", "check"]).select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end")))
     return written(out, "repeats")
 
 
 def gathered(intervals: DataFrame) -> DataFrame:
-    return written(intervals.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end", "brief")).alias("spans")), "spans")
+    return written(intervals.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
 
 
-def runs(spans: list[dict] | None, brief: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs (starts, ends) of a text's intervals, those of the brief ones among them if asked for."""
-    pairs = [(s["start"], s["end"]) for s in spans if brief or not s["brief"]] if spans is not None else []
+def runs(spans: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs (starts, ends) of a text's intervals."""
+    pairs = [(s["start"], s["end"]) for s in spans] if spans is not None else []
     start, end = np.array(pairs, np.int64).reshape(-1, 2).T
     return union(np.zeros(len(start), np.int64), start, end)[1:]
 
 
-def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", brief: int = BRIEF, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated: a row per document, removal byte by byte.
-
-    n_repeated counts the bytes removed and those of shorter repeats, down to `brief` bytes, that the
-    ordered borders show; these stay in the text. It may miss a short repeat without a phrase start.
-    """
+def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row per document, removal byte by byte."""
     rows = keyed(docs, id_col, text_col)
-    spans = gathered(repeats(rows, length, brief=brief, **how))
+    spans = gathered(repeats(rows, length, **how))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -392,14 +382,13 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
                 raw = text.encode("utf-8", "replace")
                 starts, ends = runs(spans_)
                 kept = b"".join(raw[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(raw)], strict=True))
-                low, high = runs(spans_, brief=True)
-                out.append((None if absent else doc_id, len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), int((high - low).sum())))
-            columns = zip(*out, strict=True) if out else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
+                out.append((None if absent else doc_id, len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()))
+            columns = zip(*out, strict=True) if out else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = joined_few(rows, spans, ["doc_id", "text_hash"], "left").select("doc_id", "absent", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
