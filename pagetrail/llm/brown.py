@@ -7,7 +7,8 @@ their frequency (by powers of two); words that occur once share theirs with the
 ends with a token that is a class by itself, and begins after one.
 
 1. Texts become numbers of their words, a piece of texts at a time; the distinct words of each piece are
-   counted over all and the counts go back to the pieces. So no task needs the whole vocabulary.
+   dealt into four buckets a shuffle partition, packed; a bucket counts them over all pieces and answers each
+   piece. So no task needs the whole vocabulary, and no row is a word.
 2. Pairs of neighbours are summed once for each movable word, from both sides, and stay where they are.
 3. A sweep tries half of the words, each in all classes, against the class bigrams before it; tasks get the
    class of each movable word (2 MB at most) and return those that changed. The classes of the best sweep
@@ -44,17 +45,52 @@ CLASSES, LEAST, MOVABLE, SWEEPS, PRIOR = 64, 30, 1 << 20, 8, 20.0
 RARE = 40
 APART = byte_set(b" \t\n\x0b\x0c\r")
 FOLDS, HELD = 7, 2
-PIECE = "piece long, documents binary, tokens binary, word string, code int, n long"
+PIECE = "piece long, documents binary, tokens binary, bucket int, codes binary, n binary, words binary"
+COUNT = "bucket int, words binary, n binary, total long, distinct long, once long, twice long, word string, often long"
+KNOWN = "documents binary, tokens binary, counts binary, slots binary"
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of pieces (documents, tokens) and rows of their distinct words (word, code, n: occurrences in training texts)."""
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _cut(values: np.ndarray, cuts: np.ndarray):
+    """Packed values as an Arrow array of bytes, cut at those places."""
+    import pyarrow as pa
+
+    raw, at = packed(values)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(at[cuts].astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _joined(words, cuts: np.ndarray):
+    """Words, a space after each, as an Arrow array of bytes cut at those places."""
+    import pyarrow as pa
+
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset :][: len(words) + 1]
+    place = np.arange(ends[-1] - ends[0]) + np.repeat(np.arange(len(words)), np.diff(ends))
+    out = np.full(len(place) + len(words), 32, np.uint8)
+    out[place] = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((ends[cuts] - ends[0] + cuts).astype(np.int32)), pa.py_buffer(out)])
+
+
+def _apart(raw: bytes):
+    """The words of such bytes."""
+    import pyarrow as pa
+
+    data = np.frombuffer(raw, np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    offsets = np.r_[0, gaps - np.arange(len(gaps))].astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(gaps), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 32])])
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """A row for each piece (documents, tokens) and for each bucket of its distinct words: codes, n (occurrences in training texts), words."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        names = [c.split()[0] for c in PIECE.split(", ")]
         for number, batch in enumerate(pieces(batches, 2)):
             piece = (TaskContext.get().partitionId() << 32) + number
             s = Words(binary_texts(batch.column(2)), APART)
@@ -66,15 +102,24 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             tokens = np.zeros(size.sum(), np.int64)
             tokens[np.arange(len(s.code)) + s.texts] = place[s.code]
             held = np.asarray(batch.column(1)).astype(bool)
-            trained = np.repeat(~held, size)
-            n = np.bincount(tokens[trained], minlength=distinct + 1).astype(np.int64)
+            n = np.bincount(tokens[np.repeat(~held, size)], minlength=distinct + 1).astype(np.int64)
             ids = batch.column(0)
             about = ids.fill_null(0).to_numpy().astype("<i8").tobytes() + size.astype("<i8").tobytes() + held.astype(np.uint8).tobytes() + np.asarray(ids.is_null()).astype(np.uint8).tobytes()
-            nothing = pa.nulls(1, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([about], pa.binary()), pa.array([packed(tokens)[0].tobytes()], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names)
-            words = pa.concat_arrays([pa.array([""]), s.strings(by_count)])
-            blank = pa.nulls(distinct + 1, nothing.type)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(distinct + 1, piece)), blank, blank, words, pa.array(np.arange(distinct + 1, dtype=np.int32)), pa.array(n)], names)
+
+            bucket = np.r_[0, (s.hashes()[by_count] % np.uint64(buckets)).astype(np.int64)]
+            code = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[code]) > 0, True])
+            step = np.diff(code, prepend=0)
+            step[cuts[:-1]] = code[cuts[:-1]]
+            words = pa.concat_arrays([pa.array([b""], pa.large_binary()), s.distinct.take(pa.array(by_count))]).take(pa.array(code))
+            rows, none = len(cuts) - 1, pa.nulls(1, pa.binary())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(rows + 1, piece)),
+                pa.concat_arrays([pa.array([about], pa.binary()), pa.nulls(rows, pa.binary())]),
+                pa.concat_arrays([pa.array([packed(tokens)[0].tobytes()], pa.binary()), pa.nulls(rows, pa.binary())]),
+                pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(bucket[code][cuts[:-1]].astype(np.int32))]),
+                *(pa.concat_arrays([none, column]) for column in (_cut(step, cuts), _cut(n[code], cuts), _joined(words, cuts))),
+            ], _names(PIECE))
         give_back()
 
     doc_id = F.col(id_col).cast("long")
@@ -82,27 +127,140 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), held.alias("held"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECE)
 
 
-def ranked(words: DataFrame, least: int, movable: int) -> DataFrame:
-    """(word, slot): the movable words numbered by descending count."""
-    some = words.filter((F.col("c") >= least) & (F.col("word") != "")).orderBy(F.desc("c"), "word")
-    some = written(some.select("word", F.monotonically_increasing_id().alias("at")), "movable")
+def counted(rows: DataFrame, least: int) -> DataFrame:
+    """A row for each bucket with the counts of its words over all pieces and their sums, and one for each word of `least` or more (word, often)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def summed_up(parts):
+            return pa.concat_tables(parts).group_by("w").aggregate([("n", "sum")]).rename_columns(["w", "n"])
+
+        def done(bucket, parts):
+            words = summed_up(parts).combine_chunks()
+            n = words.column("n").to_numpy()
+            own = np.asarray(pc.not_equal(words.column("w"), pa.scalar(b"", pa.large_binary())))
+            w = words.column("w").combine_chunks()
+            w = w if isinstance(w, pa.Array) else w.chunk(0)
+            many = np.flatnonzero((n >= least) & own)
+            often = w.take(pa.array(many))
+            rows = len(many)
+            sums = (n.sum(), (n > 0).sum(), ((n == 1) & own).sum(), ((n == 2) & own).sum())
+            cuts = np.array([0, len(n)])
+            text = pa.Array.from_buffers(pa.large_string(), rows, often.buffers(), often.null_count, often.offset).cast(pa.string(), safe=False)
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(rows + 1, bucket, np.int32)),
+                pa.concat_arrays([_joined(w, cuts), pa.nulls(rows, pa.binary())]),
+                pa.concat_arrays([_cut(n, cuts), pa.nulls(rows, pa.binary())]),
+                *(pa.concat_arrays([pa.array([int(x)], pa.int64()), pa.nulls(rows, pa.int64())]) for x in sums),
+                pa.concat_arrays([pa.nulls(1, pa.string()), text]),
+                pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(n[many], pa.int64())]),
+            ], _names(COUNT))
+
+        at, parts, loose = None, [], 0
+        for batch in batches:
+            for bucket, n, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if bucket != at and parts:
+                    yield done(at, parts)
+                    parts, loose = [], 0
+                at = bucket
+                parts.append(pa.table({"w": _apart(words.as_py()), "n": pa.array(unpacked(n.as_py()))}))
+                loose += parts[-1].num_rows if len(parts) > 1 else 0
+                if loose > max(1 << 17, parts[0].num_rows):  # sum up before it grows
+                    parts, loose = [summed_up(parts)], 0
+        if parts:
+            yield done(at, parts)
+        give_back()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = rows.filter("bucket IS NOT NULL").select("bucket", "n", "words")
+    return some.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, COUNT)
+
+
+def ranked(words: DataFrame, movable: int) -> DataFrame:
+    """(bucket, word, slot): the movable words among those of words(bucket, word, often), numbered by descending count."""
+    some = written(words.orderBy(F.desc("often"), "word").select("bucket", "word", F.monotonically_increasing_id().alias("at")), "movable")
     part = F.shiftright("at", 33)
     sizes = sorted(map(tuple, some.groupBy(part.alias("part")).count().collect()))  # a row a partition
     before = dict(zip([p for p, _ in sizes], np.cumsum([0, *(n for _, n in sizes)]).tolist(), strict=False))
     first = words.sparkSession.createDataFrame(list(before.items()), "part long, before long")
     slot = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return some.withColumn("part", part).join(F.broadcast(first), "part").select("word", slot.cast("int").alias("slot")).filter(F.col("slot") < movable)
+    return some.withColumn("part", part).join(F.broadcast(first), "part").select("bucket", "word", slot.cast("int").alias("slot")).filter(F.col("slot") < movable)
+
+
+def answered(rows: DataFrame, counts: DataFrame, slots: DataFrame) -> DataFrame:
+    """KNOWN: the pieces with count and slot (from 1, 0 for none) of each of their words."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(None)
+    columns = ["bucket", "kind", "piece", "codes", "n", "words", "word", "slot"]
+    lists = counts.filter("words IS NOT NULL").select("bucket", F.lit(0).alias("kind"), none.cast("long").alias("piece"), none.cast("binary").alias("codes"), "n", "words", none.cast("string").alias("word"), none.cast("int").alias("slot"))
+    numbers = slots.select("bucket", F.lit(1).alias("kind"), none.cast("long").alias("piece"), *(none.cast("binary").alias(c) for c in ("codes", "n", "words")), "word", "slot")
+    asked = rows.filter("bucket IS NOT NULL").select("bucket", F.lit(2).alias("kind"), "piece", "codes", none.cast("binary").alias("n"), "words", none.cast("string").alias("word"), none.cast("int").alias("slot"))
+
+    def look_up(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = n_ = slot = None
+        for batch in batches:
+            bucket, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1]), True])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if len(kind) else []:
+                part = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    known, n_ = _apart(part.column(5)[0].as_py()), unpacked(part.column(4)[0].as_py())
+                    slot = np.zeros(len(n_), np.int64)
+                elif kind[a] == 1:
+                    slot[pc.index_in(part.column(6).cast(pa.binary()).cast(pa.large_binary()), value_set=known).to_numpy()] = part.column(7).to_numpy() + 1
+                else:
+                    words = [_apart(w.as_py()) for w in part.column(5)]
+                    found = pc.index_in(pa.concat_arrays(words), value_set=known).to_numpy()
+                    ends = np.cumsum([0, *map(len, words)])
+                    yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), _cut(n_[found], ends), _cut(slot[found], ends)], ["piece", "codes", "counts", "slots"])
+        give_back()
+
+    dealt = lists.unionByName(numbers).unionByName(asked).select(*columns).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    found = dealt.mapInArrow(look_up, "piece long, codes binary, counts binary, slots binary")
+    texts = rows.filter("bucket IS NULL").select("piece", F.lit(0).alias("kind"), "documents", "tokens", *(none.cast("binary").alias(c) for c in ("codes", "counts", "slots")))
+    words = found.select("piece", F.lit(1).alias("kind"), none.cast("binary").alias("documents"), none.cast("binary").alias("tokens"), "codes", "counts", "slots")
+
+    def put(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def whole(text, parts):
+            codes = np.concatenate([p[0] for p in parts])
+            values = np.zeros((2, len(codes)), np.int64)
+            for k in range(2):
+                values[k, codes] = np.concatenate([p[k + 1] for p in parts])
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (*text, *(packed(v)[0].tobytes() for v in values))], _names(KNOWN))
+
+        text, parts = None, []
+        for batch in batches:
+            for kind, *cells in zip(batch.column(1).to_pylist(), *(batch.column(c) for c in range(2, 7)), strict=True):
+                if kind == 0:
+                    if parts:
+                        yield whole(text, parts)
+                    text, parts = [c.as_py() for c in cells[:2]], []
+                else:
+                    codes, counts_, slots_ = (unpacked(c.as_py()) for c in cells[2:])
+                    parts.append((np.cumsum(codes), counts_, slots_))
+        if parts:
+            yield whole(text, parts)
+        give_back()
+
+    return texts.unionByName(words).repartition(n, "piece").sortWithinPartitions("piece", "kind").mapInArrow(put, KNOWN)
 
 
 class Piece:
     """Texts as places of their words, with count and slot (or -1) of each word."""
 
-    def __init__(self, documents: bytes, tokens: bytes, counts, slots):
+    def __init__(self, documents: bytes, tokens: bytes, counts: bytes, slots: bytes):
         texts = len(documents) // 18
         self.ids, self.size = np.frombuffer(documents, "<i8", 2 * texts).reshape(2, texts)
         self.held, self.null = np.frombuffer(documents, np.uint8, 2 * texts, 16 * texts).reshape(2, texts).astype(bool)
         self.tokens = unpacked(tokens)
-        self.counts, self.slots = counts, slots
+        self.counts, self.slots = unpacked(counts), unpacked(slots) - 1
         self.starts = np.cumsum(self.size) - self.size
 
     def nodes(self, movable: int) -> np.ndarray:
@@ -123,8 +281,7 @@ class Piece:
 def read_pieces(batches: Iterator) -> Iterator[Piece]:
     for batch in batches:
         for k in range(batch.num_rows):
-            known = batch.column(2)[k].values
-            yield Piece(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), known.field("c").to_numpy(zero_copy_only=False).astype(np.int64), known.field("slot").to_numpy(zero_copy_only=False).astype(np.int64))
+            yield Piece(*(batch.column(c)[k].as_py() for c in range(4)))
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +335,7 @@ def neighbours(known: DataFrame, movable: int, buckets: int) -> DataFrame:
 
     kind = "bucket int, pairs binary"
     n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = known.select("documents", "tokens", "known").mapInArrow(gather, kind)
+    made = known.mapInArrow(gather, kind)
     return written(made.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, kind), "neighbours")
 
 
@@ -339,23 +496,16 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, least: int = LEAST, movable: int = MOVABLE, sweeps: int = SWEEPS, prior: float = PRIOR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity: a row per document."""
     context = docs.sparkSession.sparkContext
-    rows = written(numbered(docs, id_col, text_col), "pieces")
-    words = written(rows.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    kinds = [F.coalesce(F.sum("c"), F.lit(0)), *(F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2))]
-    total, distinct, once, twice = words.filter("word <> ''").agg(*kinds).first()
-    ends = words.filter("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    total, distinct = total + ends, distinct + (ends > 0)
-
-    slots = written(ranked(words, least, movable), "slots")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(numbered(docs, id_col, text_col, buckets), "pieces")
+    counts = written(counted(rows, least), "counts")
+    total, distinct, once, twice = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "once", "twice"))).first()
+    slots = written(ranked(counts.filter("word IS NOT NULL").select("bucket", "word", "often"), movable), "slots")
     n_slots = slots.count()
-    listed = words.join(slots, "word", "left").select("word", "c", F.coalesce("slot", F.lit(-1)).alias("slot"))
-    here = rows.filter("word IS NOT NULL").select("piece", "code", "word").join(listed, "word")
-    here = here.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("code", "c", "slot"))).alias("known"))
-    known = written(rows.filter("word IS NULL").select("piece", "documents", "tokens").join(here, "piece").select("documents", "tokens", F.transform("known", lambda x: x.dropFields("code")).alias("known")), "known")
+    known = written(answered(rows, counts, slots), "known")
 
     of_slot = np.zeros(0, np.int64)
     if n_slots:
-        buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         of_slot = exchange(neighbours(known, n_slots, buckets), n_slots, classes, sweeps)
     size = classes + RARE + 1
     shape = ClassModel(of_slot.astype(np.int16), np.zeros((size, size), np.int64), classes, once, twice, prior)
