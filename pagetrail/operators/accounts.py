@@ -1,6 +1,7 @@
 """Users, sessions, access.
 
-Defined results: a null key, host, user or name matches nothing; a session of a user who is gone has a
+Defined results: a null key, host, user or name matches nothing, and neither do digits of more than 64 bits;
+of added users without a name one stays; a session of a user who is gone has a
 null username; repeated requests are answered each; empty tables give empty results; columns that an
 operator does not name are carried along where it returns the rows themselves.
 """
@@ -31,7 +32,7 @@ def lookup(df: DataFrame, col: str, keys: DataFrame) -> DataFrame:
 
 def resolve_users(idents: DataFrame, users: DataFrame) -> DataFrame:
     """idents(ident) with their user: digits are an id, anything else a username; two hash joins, not one with OR."""
-    by_id = idents.filter(S.all_digits(F.col("ident"))).join(users, F.col("ident").cast("long") == users["id"])
+    by_id = idents.filter(S.all_digits(F.col("ident"))).join(users, F.col("ident").try_cast("long") == users["id"])
     return by_id.unionByName(idents.filter(~S.all_digits(F.col("ident"))).join(users, F.col("ident") == users["username"]))
 
 
@@ -86,6 +87,6 @@ def add_sessions(sessions: DataFrame, new: DataFrame, ttl: int = TTL) -> DataFra
 
 def add_users(users: DataFrame, new: DataFrame) -> DataFrame:
     """users and those of new, with no invite used; a username that exists, or comes again with a larger id, adds nothing."""
-    first = new.groupBy("username").agg(F.min_by(F.struct(*[new[c] for c in new.columns]), "id").alias("row")).select("row.*")
-    fresh = first.join(users.select("username"), "username", "left_anti").withColumn("invite_counter", F.lit(0))
+    first = new.groupBy("username").agg(F.min_by(F.struct(*[new[c] for c in new.columns]), F.struct(F.col("id").isNull(), F.col("id"))).alias("row")).select("row.*")
+    fresh = first.join(users.select(F.col("username").alias("__name")), F.col("username").eqNullSafe(F.col("__name")), "left_anti").withColumn("invite_counter", F.lit(0))
     return users.unionByName(fresh.select(*[F.col(c).cast(users.schema[c].dataType) for c in users.columns]))

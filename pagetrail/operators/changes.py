@@ -1,8 +1,9 @@
 """Upserts, deletes and folds of the capture log.
 
-Defined results: a null URL is a URL of its own in `latest_by_url` and matches nothing in deletes and
-lookups; of rows with one URL and seq any may stay, a null seq loses; repeated rows count once; empty
-tables give empty results; columns are kept in the order of the first table.
+Defined results: a null URL is a URL of its own in `latest_by_url`, `upsert` and `apply_log` and matches
+nothing in deletes and lookups; of rows with one URL and seq any may stay, a null seq loses to any other and
+stays where there is none; repeated rows count once; empty tables give empty results; columns are kept in
+the order of the first table.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 def latest_by_url(captures: DataFrame) -> DataFrame:
     """The row of largest seq of each URL; a much captured URL is reduced before the shuffle."""
     row = F.struct(*[captures[c] for c in captures.columns])
-    return captures.groupBy("url").agg(F.max_by(row, "seq").alias("row")).select("row.*")
+    newest = F.struct(F.col("seq").isNotNull(), F.col("seq"))  # never null, so that no URL is lost
+    return captures.groupBy("url").agg(F.max_by(row, newest).alias("row")).select("row.*")
 
 
 def upsert(index: DataFrame, new: DataFrame) -> DataFrame:
     """index with the latest of each URL in new in place of its own row."""
     latest = latest_by_url(new)
-    return index.join(latest.select("url"), "url", "left_anti").unionByName(latest).select(*index.columns)
+    replaced = latest.select(F.col("url").alias("__url"))
+    return index.join(replaced, F.col("url").eqNullSafe(F.col("__url")), "left_anti").unionByName(latest).select(*index.columns)
 
 
 def apply_log(log: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Content-addressed files.
 
 Defined results: files with a null hash are one content; of uploads with one hash the smallest id is
-the first, and rows that repeat it are first each; a null is_public counts as no metadata in access;
+the first, a null id comes after all others, and rows that repeat the first one are first each; a null is_public counts as no metadata in access;
 empty tables give empty results.
 """
 
@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 
 def file_dedup(files: DataFrame) -> DataFrame:
     """Every upload with the id and name of the first one of its hash, which is what is returned for it."""
-    first = files.groupBy("hash").agg(F.min(F.struct("id", "filename")).alias("stored"))
-    joined = files.select("id", "hash").join(first, "hash")
-    return joined.select("id", "hash", F.col("stored.id").alias("stored_id"), F.col("stored.filename").alias("stored_filename"), (F.col("id") == F.col("stored.id")).alias("is_first"))
+    first = files.groupBy(F.col("hash").alias("__hash")).agg(F.min(F.struct(F.col("id").isNull(), "id", "filename")).alias("stored"))
+    joined = files.select("id", "hash").join(first, F.col("hash").eqNullSafe(F.col("__hash")))
+    return joined.select("id", "hash", F.col("stored.id").alias("stored_id"), F.col("stored.filename").alias("stored_filename"), F.col("id").eqNullSafe(F.col("stored.id")).alias("is_first"))
 
 
 def first_files(files: DataFrame) -> DataFrame:
     """The first upload of each hash, by partial aggregates."""
-    return files.groupBy("hash").agg(F.min_by(F.struct(*[files[c] for c in files.columns]), "id").alias("row")).select("row.*")
+    return files.groupBy("hash").agg(F.min_by(F.struct(*[files[c] for c in files.columns]), F.struct(F.col("id").isNull(), F.col("id"))).alias("row")).select("row.*")
 
 
 def add_files(stored: DataFrame, new: DataFrame) -> DataFrame:
     """stored and the first upload of each hash of new that is not there yet."""
-    return stored.unionByName(first_files(new).join(stored.select("hash"), "hash", "left_anti").select(*stored.columns))
+    known = stored.select(F.col("hash").alias("__hash"))
+    return stored.unionByName(first_files(new).join(known, F.col("hash").eqNullSafe(F.col("__hash")), "left_anti").select(*stored.columns))
 
 
 def visible_files(files: DataFrame, public_only: bool) -> DataFrame:

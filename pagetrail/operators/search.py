@@ -2,8 +2,8 @@
 
 Statistics come with a stored index (`sources.tables.open_index`) or are computed from the postings.
 Defined results: null texts have no terms; a query without terms, or whose terms occur nowhere, has no
-hits; ties go by id; a null `must`, `must_not` or `phrase` asks for nothing; pages that share an id count
-as one; an empty index gives no hits.
+hits; ties go by id; a null `must`, `must_not`, `phrase`, `ts_from` or `ts_to` asks for nothing; pages that
+share an id count as one, shown as the newest of them; a null id is an id; an empty index gives no hits.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pagetrail.functions import scalars as S
 K1, B = 1.2, 0.75
 
 
-def build_postings(index: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """field, term, id, tf, positions (ascending, from 0) of the text fields of page records."""
-    parts = [index.select(F.lit(f).alias("field"), "id", F.posexplode(S.tokens(F.col(f))).alias("pos", "term")) for f in fields]
-    return reduce(DataFrame.unionByName, parts).groupBy("field", "term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+def build_postings(index: DataFrame, fields: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """field, term, id, tf, positions (ascending, from 0) of the text fields of page records; keep: columns that go with the id."""
+    parts = [index.select(F.lit(f).alias("field"), "id", *keep, F.posexplode(S.tokens(F.col(f))).alias("pos", "term")) for f in fields]
+    return reduce(DataFrame.unionByName, parts).groupBy("field", "term", "id", *keep).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def doc_stats(postings: DataFrame) -> DataFrame:
@@ -86,7 +86,10 @@ def paged(scores: DataFrame, page: int = 0, size: int = 10) -> DataFrame:
 
 
 def hits(ranked: DataFrame, index: DataFrame) -> DataFrame:
-    return ranked.join(index.select("id", "title", "description", "timestamp", "url"), "id").select("query_id", "rank", "score", "title", "description", "timestamp", "url")
+    shown = ranked.join(index.select(F.col("id").alias("__id"), "title", "description", "timestamp", "url"), F.col("id").eqNullSafe(F.col("__id")))
+    newest = Window.partitionBy("query_id", "rank").orderBy(F.desc("timestamp"), "url")
+    shown = shown.withColumn("__one", F.row_number().over(newest)).filter("__one = 1")
+    return shown.select("query_id", "rank", "score", "title", "description", "timestamp", "url")
 
 
 def search(index: DataFrame, postings: DataFrame, queries: DataFrame, fields: tuple[str, ...] | None = None, page: int = 0, size: int = 10, user_id: int | None = None, stats: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -107,8 +110,11 @@ def search(index: DataFrame, postings: DataFrame, queries: DataFrame, fields: tu
         free = queries.filter(F.coalesce(F.col("phrase"), F.lit("")) == "").select("query_id")
         found = found.join(having_phrase(postings, queries), ["query_id", "id"], "left_semi").unionByName(found.join(free, "query_id", "left_semi"))
     if "ts_from" in have:
-        span = found.join(queries.select("query_id", "ts_from", "ts_to"), "query_id").join(index.select("id", "timestamp"), "id")
-        found = span.filter(F.col("timestamp").between(F.col("ts_from"), F.col("ts_to"))).select("query_id", "id", "score")
+        asked = queries.select("query_id", "ts_from", "ts_to")
+        span = found.join(asked, "query_id").join(index.select(F.col("id").alias("__id"), "timestamp"), F.col("id").eqNullSafe(F.col("__id")))
+        late = F.col("ts_from").isNull() | (F.col("timestamp") >= F.col("ts_from"))
+        early = F.col("ts_to").isNull() | (F.col("timestamp") <= F.col("ts_to"))
+        found = span.filter(late & early).select("query_id", "id", "score").distinct()
     if user_id is not None:
         found = found.join(index.filter(F.col("user_id") == user_id).select("id"), "id", "left_semi")
     return hits(paged(found, page, size), index)
@@ -116,4 +122,5 @@ def search(index: DataFrame, postings: DataFrame, queries: DataFrame, fields: tu
 
 def update_postings(postings: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
     """postings without those of changed(id), with the new ones; statistics are derived from the result."""
-    return postings.join(changed.select("id").distinct(), "id", "left_anti").unionByName(new).select(*postings.columns)
+    gone = changed.select(F.col("id").alias("__id")).distinct()
+    return postings.join(gone, F.col("id").eqNullSafe(F.col("__id")), "left_anti").unionByName(new).select(*postings.columns)

@@ -203,9 +203,13 @@ FROM events LEFT JOIN v_files ON id = event_id * 3""",
     "annotation_parse": """SELECT event_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS title, CASE WHEN event_id % 5 > 0 THEN event_type || ' ' || CAST(user_id AS VARCHAR) END AS direct_keywords,
        CASE WHEN event_id % 5 > 0 THEN '' END AS related_keywords, CASE WHEN event_id % 5 > 0 THEN '' END AS description, event_id % 5 > 0 AS parsed FROM events""",
     "stream_log": f"WITH {CAPTURES}, l AS (SELECT * FROM v_captures {LATEST}) SELECT * FROM l WHERE op = 'index'",
-    "stream_ingest": f"""WITH {RECORDS}, {CAPTURES}, l AS (SELECT url, ts, user_id, seq FROM v_captures WHERE op = 'index' {LATEST})
-SELECT id, url, title, description, direct_keywords, related_keywords, ts AS "timestamp", user_id, seq FROM l JOIN rec USING (url)""",
-    "stream_postings": f"""WITH {RECORDS}, {CAPTURES}, rl AS (SELECT * FROM rec WHERE url IN (SELECT url FROM v_captures WHERE op = 'index')), {_post('rl')} {POSITIONS} FROM post""",
+    "stream_ingest": f"""WITH {RECORDS}, {CAPTURES}, l AS (SELECT url, ts, user_id, seq, op FROM v_captures {LATEST})
+SELECT id, url, title, description, direct_keywords, related_keywords, ts AS "timestamp", user_id, seq FROM l JOIN rec USING (url) WHERE op = 'index'""",
+    "stream_postings": f"""WITH {RECORDS}, {CAPTURES}, l AS (SELECT url, op FROM v_captures {LATEST}), rl AS (SELECT * FROM rec WHERE url IN (SELECT url FROM l WHERE op = 'index')), {_post('rl')} {POSITIONS} FROM post""",
+    "read_table": "SELECT doc_id, lang, source, n_chars FROM documents",
+    "read_captures": f"WITH {CAPTURES} SELECT seq, url, user_id, ts, op, page_id % 2 = 0 AS stored, CAST(page_id AS VARCHAR) || '.jpg' AS image_filename FROM v_captures",
+    "read_contents": """WITH f AS (SELECT source, doc_id // 1000 AS part, string_agg(to_base64(encode(coalesce(text, ''))), chr(10) ORDER BY doc_id) || chr(10) AS c FROM documents GROUP BY ALL)
+SELECT source, CAST(part AS BIGINT) AS part, CAST(strlen(c) AS BIGINT) AS length, sha256(c) AS content_hash FROM f""",
     "add_users": f"""WITH {USERS} SELECT id, parent_id, username, creation_datetime, CAST(invite_counter AS INTEGER) AS invite_counter FROM v_users
 UNION ALL SELECT CAST(s_suppkey + 1000000 AS BIGINT), 1, 's' || CAST(s_suppkey AS VARCHAR), 1705276800, 0 FROM supplier""",
     "add_files": f"""WITH {FILES}, f AS (SELECT *, row_number() OVER (PARTITION BY hash, id % 2 ORDER BY id) AS k FROM v_files)

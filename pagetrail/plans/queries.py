@@ -375,6 +375,31 @@ def _as_files(df: DataFrame, order: str, parts: int = 4) -> str:
     return path
 
 
+@query
+def read_table(spark, d):
+    """Columns of the documents by a schema of their own; nothing is inferred."""
+    return R.read_table(spark, f"{d}/documents.parquet", "doc_id long, lang string, source string, n_chars long")
+
+
+@query
+def read_captures(spark, d):
+    """Captures written as JSON lines and read by the fixed schema of captures."""
+    path = fresh_path(spark, "captures")
+    image = F.concat(F.col("page_id").cast("string"), F.lit(".jpg"))
+    V.captures(spark, d).select("seq", "url", "user_id", "ts", "op", (F.col("page_id") % 2 == 0).alias("stored"), image.alias("image_filename")).write.json(path)
+    return R.read_captures(spark, path, "json").select("seq", "url", "user_id", "ts", "op", "stored", "image_filename")
+
+
+@query
+def read_contents(spark, d):
+    """Files of a thousand documents of a source at most, read whole."""
+    path, part = fresh_path(spark, "files"), F.expr("doc_id div 1000")
+    lines = V.table(spark, d, "documents").select("source", part.alias("part"), "doc_id", F.translate(F.base64(F.coalesce("text", F.lit("")).cast("binary")), "\r\n", "").alias("value"))
+    lines.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "value").write.partitionBy("source", "part").text(path)
+    source, number = (F.regexp_extract("path", "/source=([^/]*)/part=([0-9]+)/", k) for k in (1, 2))
+    return R.read_contents(spark, path, "part-*").select(source.alias("source"), number.cast("long").alias("part"), "length", F.sha2("content", 256).alias("content_hash"))
+
+
 @query
 def stream_log(spark, d):
     log = V.captures(spark, d)

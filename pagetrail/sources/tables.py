@@ -1,4 +1,10 @@
-"""Readers and writers."""
+"""Readers and writers.
+
+Defined results: files that lack a column of the schema give nulls there; null contents have no digest and
+are not stored, those with a null id are; contents that repeat are stored once; a query without hits has
+no row of results; texts that are null, empty or do not parse are dead letters; empty tables give empty
+results.
+"""
 
 from __future__ import annotations
 
@@ -61,16 +67,14 @@ def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Dat
 
 
 def store_contents(contents: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """hash, size, content of what is new: the first of each digest that is not in stored(hash) yet.
+    """hash, size, prefix, content of what is new: one of each digest that is not in stored(hash) yet.
 
-    contents: id, content. Write the result partitioned by `prefix`.
+    contents: content, whatever else. Write the result partitioned by `prefix`.
     """
-    hashed = contents.withColumn("hash", F.sha2("content", 256))
-    first = hashed.groupBy("hash").agg(F.min("id").alias("id"))
-    new = hashed.join(first, ["hash", "id"], "left_semi").dropDuplicates(["hash"])
+    new = contents.filter("content IS NOT NULL").select("content", F.sha2("content", 256).alias("hash"))
     if stored is not None:
         new = new.join(stored.select("hash"), "hash", "left_anti")
-    return new.select("hash", F.octet_length("content").cast("long").alias("size"), F.substring("hash", 1, 2).alias("prefix"), "content")
+    return new.dropDuplicates(["hash"]).select("hash", F.octet_length("content").cast("long").alias("size"), F.substring("hash", 1, 2).alias("prefix"), "content")
 
 
 def to_result_json(hits: DataFrame) -> DataFrame:

@@ -215,3 +215,36 @@ def test_prompt(spark):
     df = spark.createDataFrame([("T", "u", True), ("T", "u", False)], "t string, u string, s boolean")
     got = [r.p for r in df.select(S.prompt(F.col("t"), F.col("u"), F.col("s")).alias("p")).collect()]
     assert got[0].startswith("Annotate the page u titled T. ") and got[1].startswith("Annotate the image captured at u. ")
+
+
+def test_null_seq_hash_and_id_lose_no_row(spark):
+    log = spark.createDataFrame([(None, "a", "index", 1), (None, "b", "index", 1), (2, "b", "delete", 1), (1, None, "index", 1), (5, None, "index", 2)], LOG)
+    assert sorted(((r.url, r.seq) for r in changes.latest_by_url(log).collect()), key=repr) == sorted([("a", None), ("b", 2), (None, 5)], key=repr)
+    assert sorted((r.url for r in changes.apply_log(log).collect()), key=repr) == sorted(["a", None], key=repr)
+    once = changes.upsert(changes.latest_by_url(log), log)
+    assert once.count() == changes.upsert(once, log).count() == 3
+    f = spark.createDataFrame([(None, None, "x", 0, 1, 0), (2, None, "b", 0, 1, 0), (1, None, "a", 0, 1, 1), (None, "h", "y", 0, 1, 0)], schemas.FILES)
+    got = sorted(((r.id, r.hash, r.stored_id, r.is_first) for r in files.file_dedup(f).collect()), key=repr)
+    assert got == sorted([(None, None, 1, False), (2, None, 1, False), (1, None, 1, True), (None, "h", None, True)], key=repr)
+    stored = files.first_files(f)
+    assert sorted(r.filename for r in stored.collect()) == ["a", "y"]
+    assert files.add_files(stored, f).count() == files.add_files(files.add_files(stored, f), f).count() == 2
+    contents = spark.createDataFrame([(None, bytearray(b"x")), (None, bytearray(b"x")), (1, bytearray(b"y")), (2, None)], "id long, content binary")
+    assert sorted(bytes(r.content) for r in tables.store_contents(contents).collect()) == [b"x", b"y"]
+
+
+def test_long_digits_are_no_user(spark, family):
+    who = spark.createDataFrame([("99999999999999999999",), ("9223372036854775808",), ("2",), (None,)], "ident string")
+    assert [r.ident for r in accounts.resolve_users(who, family).collect()] == ["2"]
+    new = spark.createDataFrame([(None, 2, "z", 5, "", ""), (12, 2, "z", 6, "", ""), (None, 2, None, 5, "", "")], "id long, parent_id long, username string, creation_datetime long, secret string, invite_secret string")
+    once = accounts.add_users(family, new)
+    assert sorted(((r.id, r.username) for r in once.collect() if r.username in (None, "z")), key=repr) == sorted([(12, "z"), (None, None)], key=repr)
+    assert accounts.add_users(once, new).count() == once.count()
+
+
+def test_open_time_bounds_and_shared_ids(spark, index):
+    assert set(ask(spark, index, text="fox", ts_from=None, ts_to=20)) == {"u0", "u1", "u2"}
+    assert set(ask(spark, index, text="fox", ts_from=20, ts_to=None)) == {"u2", "u4"}
+    assert set(ask(spark, index, text="fox", ts_from=None, ts_to=None)) == {"u0", "u1", "u2", "u4"}
+    both = index.unionByName(index.filter("id = 1").withColumns({"url": F.lit("again"), "timestamp": F.lit(99).cast("long")}))
+    assert sorted(ask(spark, both, text="fox")) == ["again", "u0", "u2", "u4"]
