@@ -70,13 +70,28 @@ def having_any(postings: DataFrame, unwanted: DataFrame) -> DataFrame:
     return postings.join(unwanted.distinct(), "term").select("query_id", "id").distinct()
 
 
-def having_phrase(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id) of pages with the tokens of `phrase` one after the other in one field."""
+def having_phrase(postings: DataFrame, queries: DataFrame, stats: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(query_id, id) of pages with the tokens of `phrase` one after the other in one field.
+
+    Pages come from the word of the phrase with the fewest pages in a field; of the other words only the
+    postings of those pages are read on, and the ascending positions of a page are intersected, shortest
+    list first. No position becomes a row.
+    """
     words = queries.select("query_id", F.posexplode(S.tokens(F.col("phrase"))).alias("at", "term"))
     size = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
-    starts = postings.join(words, "term").select("query_id", "field", "id", F.explode("positions").alias("pos"), "at").select("query_id", "field", "id", (F.col("pos") - F.col("at")).alias("start"), "at")
-    run = starts.distinct().groupBy("query_id", "field", "id", "start").agg(F.count(F.lit(1)).alias("met"))
-    return run.join(size, "query_id").filter("met = size").select("query_id", "id").distinct()
+    df = stats["terms"] if stats else term_stats(postings.join(words.select("term").distinct(), "term", "left_semi"))
+    known = words.join(df, "term").join(size, "query_id")
+    rarest = known.groupBy("query_id", "field").agg(F.min_by("term", F.struct("df", "at")).alias("term"), F.countDistinct("at").alias("have"), F.first("size").alias("size"))
+    rarest = rarest.filter("have = size").select("query_id", "field", "term")  # a field without one of the words has no hit
+    pages = postings.select("field", "term", "id").join(rarest, ["field", "term"]).select("query_id", "field", F.col("id").alias("__id"))
+    asked = known.join(rarest.select("query_id", "field"), ["query_id", "field"]).select("query_id", "field", "term", "at", "size")
+    met = postings.join(asked, ["field", "term"]).alias("p")
+    here = pages.withColumnsRenamed({"query_id": "__query", "field": "__field"})
+    met = met.join(here, (F.col("query_id") == F.col("__query")) & (F.col("field") == F.col("__field")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    lists = met.groupBy("query_id", "field", "id", "size").agg(F.sort_array(F.collect_list(F.struct(F.size("positions").alias("n"), "at", "positions"))).alias("lists"))
+    first = F.transform(F.col("lists")[0]["positions"], lambda p: p - F.col("lists")[0]["at"])
+    starts = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0))), first, lambda left, x: F.filter(left, lambda p: F.array_contains(x["positions"], p + x["at"])))
+    return lists.filter(F.size("lists") == F.col("size")).filter(F.size(starts) > 0).select("query_id", "id").distinct()
 
 
 def paged(scores: DataFrame, page: int = 0, size: int = 10) -> DataFrame:
@@ -108,7 +123,7 @@ def search(index: DataFrame, postings: DataFrame, queries: DataFrame, fields: tu
         found = found.join(having_any(postings, queries.select("query_id", F.explode("must_not").alias("term"))), ["query_id", "id"], "left_anti")
     if "phrase" in have:
         free = queries.filter(F.coalesce(F.col("phrase"), F.lit("")) == "").select("query_id")
-        found = found.join(having_phrase(postings, queries), ["query_id", "id"], "left_semi").unionByName(found.join(free, "query_id", "left_semi"))
+        found = found.join(having_phrase(postings, queries, stats), ["query_id", "id"], "left_semi").unionByName(found.join(free, "query_id", "left_semi"))
     if "ts_from" in have:
         asked = queries.select("query_id", "ts_from", "ts_to")
         span = found.join(asked, "query_id").join(index.select(F.col("id").alias("__id"), "timestamp"), F.col("id").eqNullSafe(F.col("__id")))

@@ -145,7 +145,9 @@ def search_time(spark, d):
 
 @query
 def search_json(spark, d):
-    return R.to_result_json(_search(spark, d, size=15))
+    idx, p, stats = _stored(spark, d)
+    asked = V.queries(idx).select("query_id", "text")
+    return R.to_result_json(Q.search(idx, p, asked, stats=stats, size=15), asked)
 
 
 @query

@@ -1,8 +1,8 @@
 """Readers and writers.
 
 Defined results: files that lack a column of the schema give nulls there; null contents have no digest and
-are not stored, those with a null id are; contents that repeat are stored once; a query without hits has
-no row of results; texts that are null, empty or do not parse are dead letters; empty tables give empty
+are not stored, those with a null id are; contents that repeat are stored once; a query without hits has an
+empty list of results where the queries are given, else no row; texts that are null, empty or do not parse are dead letters; empty tables give empty
 results.
 """
 
@@ -77,10 +77,12 @@ def store_contents(contents: DataFrame, stored: DataFrame | None = None) -> Data
     return new.dropDuplicates(["hash"]).select("hash", F.octet_length("content").cast("long").alias("size"), F.substring("hash", 1, 2).alias("prefix"), "content")
 
 
-def to_result_json(hits: DataFrame) -> DataFrame:
+def to_result_json(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """query_id, result: the hits of each query (query_id, rank, score, title, description, timestamp, url) as one JSON text."""
     hit = F.struct("rank", "score", F.struct("title", "description", "timestamp", "url").alias("doc"))
     found = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    if queries is not None:
+        found = queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))
     shown = F.transform("hits", lambda h: F.struct(h["score"].alias("score"), h["doc"].alias("doc")))
     return found.select("query_id", F.to_json(F.struct(shown.alias("search_results"))).alias("result"))
 

@@ -248,3 +248,32 @@ def test_open_time_bounds_and_shared_ids(spark, index):
     assert set(ask(spark, index, text="fox", ts_from=None, ts_to=None)) == {"u0", "u1", "u2", "u4"}
     both = index.unionByName(index.filter("id = 1").withColumns({"url": F.lit("again"), "timestamp": F.lit(99).cast("long")}))
     assert sorted(ask(spark, both, text="fox")) == ["again", "u0", "u2", "u4"]
+
+
+def test_phrases_meet_in_one_field(spark):
+    texts = ["a b a b c", "a b b c", "c a", "a x b c", "b c a b c a b", "", None, "the a b", "A, B! c?"]
+    rows = [(k, f"u{k}", t, "a" if k == 2 else "none", k, 0) for k, t in enumerate(texts)]
+    pages_ = spark.createDataFrame(rows, "id long, url string, title string, description string, timestamp long, user_id long")
+    postings = search.build_postings(pages_, ("title", "description"))
+    phrases = ["a b c", "b c a", "a a", "c a", "b", "a b a b", "missing a", "none a", "", None]
+    asked = spark.createDataFrame(list(enumerate(phrases)), "query_id long, phrase string")
+    stats = {"terms": search.term_stats(postings)}
+    want = set()
+    for q, phrase in enumerate(phrases):
+        words = (phrase or "").split()
+        for k, url, title, description, *_ in rows:
+            for text in (title, description):
+                have = [w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()]
+                if words and any(have[i : i + len(words)] == words for i in range(len(have))):
+                    want.add((q, k))
+    for given in (None, stats):
+        assert {(r.query_id, r.id) for r in search.having_phrase(postings, asked, given).collect()} == want
+    plan = search.having_phrase(postings, asked, stats)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(positions" not in plan
+
+
+def test_queries_without_hits_have_an_empty_list(spark, index):
+    asked = spark.createDataFrame([(1, "fox"), (2, "absent"), (3, None)], "query_id long, text string")
+    hits = search.search(index, search.build_postings(index, ("title",)), asked)
+    got = {r.query_id: r.result for r in tables.to_result_json(hits, asked).collect()}
+    assert got[2] == got[3] == '{"search_results":[]}' and "fox" in got[1] and len(got) == 3
