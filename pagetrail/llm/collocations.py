@@ -39,6 +39,8 @@ from pagetrail.llm.words import Words, binary_texts, byte_set
 LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
 #: Places of the filter of frequent pairs, as a power of two: 8 MB whatever the corpus.
 PLACE_BITS = 26
+#: Bytes of text that a task scans at a time: the numbers of its places take some thirty times as much.
+SCAN_BYTES = 2 << 20
 ENDS = byte_set(b".,;:!?\n\x0b\x0c\r")
 APART = ENDS | byte_set(b" \t")
 
@@ -53,7 +55,7 @@ class _Scan:
         self.langs = coded.dictionary
         self.words = Words(binary_texts(batch.column(1)), APART)
         self.lang = coded.indices.to_numpy().astype(np.int64)[self.words.texts]
-        piece = np.cumsum(ENDS[self.words.data])[self.words.start] if len(self.words.start) else self.words.start
+        piece = np.cumsum(ENDS[self.words.data], dtype=np.int32)[self.words.start] if len(self.words.start) else self.words.start
         self.followed = np.zeros(len(piece), bool)
         self.followed[:-1] = (piece[1:] == piece[:-1]) & (self.words.texts[1:] == self.words.texts[:-1])
 
@@ -77,7 +79,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, SCAN_BYTES):
             h, n = np.unique(_Scan(batch).pairs()[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -111,7 +113,7 @@ def edge_counts(texts: DataFrame, frequent: np.ndarray, longest: int, bits: int)
         import pyarrow.compute as pc
 
         known = shared.value
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, SCAN_BYTES):
             s = _Scan(batch)
             code = s.words.code
             if not len(code):
