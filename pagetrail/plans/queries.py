@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagetrail import schemas
 from pagetrail.functions import scalars as S
 from pagetrail.operators import accounts as A
+from pagetrail.operators import blocks as K
 from pagetrail.operators import changes as C
 from pagetrail.operators import files as FI
 from pagetrail.operators import pages as P
@@ -90,9 +91,9 @@ def page_records(spark, d):
 
 
 def _stored(spark, d):
-    """(records, postings, statistics) of an index written and opened again."""
+    """(records, postings, statistics with blocks) of an index written and opened again."""
     idx, path = V.records(spark, d), fresh_path(spark, "index")
-    R.write_index(Q.build_postings(idx, FIELDS), path)
+    R.write_index(Q.build_postings(idx, FIELDS), path, pages=idx)
     return idx, *R.open_index(spark, path)
 
 
@@ -109,8 +110,9 @@ def search_any(spark, d):
 
 @query
 def search_topk(spark, d):
-    idx, p, stats = _stored(spark, d)
-    return Q.scored(p, V.queries(idx).select("query_id", "text"), stats=stats).orderBy(F.desc("score"), "query_id", "id").limit(10)
+    idx, _, stats = _stored(spark, d)
+    asked = V.queries(idx).select("query_id", "text")
+    return K.best(stats, Q.query_terms(asked), asked, 10).orderBy(F.desc("score"), "query_id", "id").limit(10)
 
 
 @query
