@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.functions import scalars as S
+from pagetrail.operators.intervals import inside
 
 TTL = 86_400
 PRIVATE = ("secret", "invite_secret", "invite_counter", "id", "parent_id")
@@ -58,10 +59,8 @@ def resolve_sessions(requests: DataFrame, sessions: DataFrame, users: DataFrame,
 
 
 def valid_at_request(requests: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Requests inside some session of their user; the user is the equi key of the range join."""
-    s = sessions.select(F.col("user_id").alias("__user"), "creation_datetime", "expires_at_datetime")
-    inside = (F.col("user_id") == F.col("__user")) & (F.col("ts") >= F.col("creation_datetime")) & (F.col("ts") < F.col("expires_at_datetime"))
-    return requests.join(s, inside, "left_semi")
+    """Requests inside some session of their user; user and time bin are the equi key (`operators.intervals`)."""
+    return inside(requests, sessions, "user_id", "ts", "user_id", "creation_datetime", "expires_at_datetime")
 
 
 def classify_access(resolved: DataFrame, local_host: str, allow_foreign: bool = True, admin_only: bool = False) -> DataFrame:

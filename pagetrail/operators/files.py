@@ -10,11 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetrail.sources.scratch import written
 
-def file_dedup(files: DataFrame) -> DataFrame:
-    """Every upload with the id and name of the first one of its hash, which is what is returned for it."""
+#: Hashes whose uploads are joined without a shuffle.
+HEAVY = 200
+
+
+def frequent(files: DataFrame, most: int = HEAVY) -> list[str]:
+    """Hashes that a frequent-items sketch holds: every hash of more than about one row in `most` is among them."""
+    row = files.filter("hash IS NOT NULL").agg(F.expr(f"approx_top_k(hash, {most}, {most * 8})").alias("top")).first()
+    return [r.item for r in row.top or []]
+
+
+def file_dedup(files: DataFrame, most: int = HEAVY) -> DataFrame:
+    """Every upload with the id and name of the first one of its hash, which is what is returned for it.
+
+    The first ones of frequent hashes, and of the null hash, are broadcast, `most` + 1 rows at most, so their
+    uploads stay where they are read; only the others are shuffled.
+    """
     first = files.groupBy(F.col("hash").alias("__hash")).agg(F.min(F.struct(F.col("id").isNull(), "id", "filename")).alias("stored"))
-    joined = files.select("id", "hash").join(first, F.col("hash").eqNullSafe(F.col("__hash")))
+    first = written(first, "first")
+    few = frequent(files, most)
+    heavy = F.col("__hash").isNull() | F.col("__hash").isin(few)
+    hot = F.col("hash").isNull() | F.col("hash").isin(few)
+    same = F.col("hash").eqNullSafe(F.col("__hash"))
+    rows = files.select("id", "hash")
+    joined = rows.filter(hot).join(F.broadcast(first.filter(heavy)), same)
+    joined = joined.unionByName(rows.filter(~hot).join(first.filter(~heavy), F.col("hash") == F.col("__hash")))
     return joined.select("id", "hash", F.col("stored.id").alias("stored_id"), F.col("stored.filename").alias("stored_filename"), F.col("id").eqNullSafe(F.col("stored.id")).alias("is_first"))
 
 

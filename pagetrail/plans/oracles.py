@@ -223,6 +223,7 @@ SELECT id, hash, filename, size, is_public FROM f WHERE k = 1 AND (id % 2 = 0 OR
     "stream_sessions": f"""WITH {REQUESTS}, {SESSIONS} SELECT request_id, r.ts, s.user_id AS session_user FROM v_requests r JOIN v_sessions s
 ON s.key = split_part(session_key, '@', 1) AND s.host = split_part(session_key, '@', 2) WHERE r.ts >= s.creation_datetime AND s.expires_at_datetime > r.ts""",
 }
+ORACLES["stream_valid"] = ORACLES["valid_at_request"]
 ORACLES["search_json"] = f"""WITH h AS ({ORACLES['search_any']})
 SELECT query_id, to_json({{'search_results': list({{'score': score, 'doc': {{'title': title, 'description': description, 'timestamp': "timestamp", 'url': url}}}} ORDER BY rank)}}) AS result FROM h GROUP BY query_id
 UNION ALL SELECT page_id, '{{"search_results":[]}}' FROM (SELECT page_id FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)

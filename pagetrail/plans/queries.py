@@ -451,3 +451,22 @@ def stream_recent(spark, d):
 def stream_sessions(spark, d):
     stream = R.read_capture_stream(spark, _as_files(V.requests(spark, d), "request_id"), schema=schemas.REQUESTS)
     return J.run_sessions(stream, fresh_path(spark, "stream"), V.sessions(spark, d))
+
+
+def _in_time(df: DataFrame, order: str, parts: int = 4) -> tuple[str, int]:
+    """df as files that come in parts of ascending time, and the longest time that a part spans."""
+    path = fresh_path(df.sparkSession, "arrivals")
+    ends = sorted(set(df.approxQuantile(order, [k / parts for k in range(parts + 1)], 0.001)))
+    df.limit(0).write.parquet(path)
+    for low, high in zip(ends, [*ends[1:], float("inf")], strict=True):
+        df.filter((F.col(order) >= low) & (F.col(order) < high)).write.mode("append").parquet(path)
+    return path, int(max((b - a for a, b in zip(ends, ends[1:], strict=False)), default=0)) + 1
+
+
+@query
+def stream_valid(spark, d):
+    """Requests and sessions both arrive as files, late by a part of the time at most."""
+    asked, slow = _in_time(V.requests(spark, d), "ts")
+    live, slower = _in_time(V.sessions(spark, d), "creation_datetime")
+    streams = (R.read_capture_stream(spark, p, schema=kind) for p, kind in ((asked, schemas.REQUESTS), (live, schemas.SESSIONS)))
+    return J.run_valid(*streams, fresh_path(spark, "stream"), delay=max(slow, slower))
