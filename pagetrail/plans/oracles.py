@@ -137,6 +137,7 @@ SELECT u.id, CASE WHEN u.parent_id NOT IN (SELECT id FROM g) THEN u.parent_id EN
 FROM v_users u WHERE id NOT IN (SELECT id FROM g)"""
 
 
+LINES = "f AS (SELECT source, doc_id // 1000 AS part, string_agg(to_base64(encode(coalesce(text, ''))), chr(10) ORDER BY doc_id) || chr(10) AS c FROM documents GROUP BY ALL)"
 POSITIONS = "SELECT field, term, id, tf, array_to_string(positions, ' ') AS positions"
 ORACLES = {
     "page_text": f"WITH {TEXT} SELECT page_id, url, title, h1, body, description, coalesce(nullif(title, ''), nullif(h1, ''), url, '') AS shown_title FROM pd",
@@ -208,8 +209,9 @@ SELECT id, url, title, description, direct_keywords, related_keywords, ts AS "ti
     "stream_postings": f"""WITH {RECORDS}, {CAPTURES}, l AS (SELECT url, op FROM v_captures {LATEST}), rl AS (SELECT * FROM rec WHERE url IN (SELECT url FROM l WHERE op = 'index')), {_post('rl')} {POSITIONS} FROM post""",
     "read_table": "SELECT doc_id, lang, source, n_chars FROM documents",
     "read_captures": f"WITH {CAPTURES} SELECT seq, url, user_id, ts, op, page_id % 2 = 0 AS stored, CAST(page_id AS VARCHAR) || '.jpg' AS image_filename FROM v_captures",
-    "read_contents": """WITH f AS (SELECT source, doc_id // 1000 AS part, string_agg(to_base64(encode(coalesce(text, ''))), chr(10) ORDER BY doc_id) || chr(10) AS c FROM documents GROUP BY ALL)
-SELECT source, CAST(part AS BIGINT) AS part, CAST(strlen(c) AS BIGINT) AS length, sha256(c) AS content_hash FROM f""",
+    "read_contents": f"WITH {LINES} SELECT source, CAST(part AS BIGINT) AS part, CAST(strlen(c) AS BIGINT) AS length, sha256(c) AS content_hash FROM f",
+    "chained_files": f"""WITH {LINES} SELECT source, CAST(part AS BIGINT) AS part, CAST(strlen(c) AS BIGINT) AS length, lower(hex(list_reduce(
+  list_transform(range(CAST(ceil(strlen(c) / 4096) AS BIGINT)), lambda i: unhex(sha256(array_slice(encode(c), i * 4096 + 1, (i + 1) * 4096)))), lambda a, x: unhex(sha256(a || x)), ''::BLOB))) AS chained FROM f""",
     "add_users": f"""WITH {USERS} SELECT id, parent_id, username, creation_datetime, CAST(invite_counter AS INTEGER) AS invite_counter FROM v_users
 UNION ALL SELECT CAST(s_suppkey + 1000000 AS BIGINT), 1, 's' || CAST(s_suppkey AS VARCHAR), 1705276800, 0 FROM supplier""",
     "add_files": f"""WITH {FILES}, f AS (SELECT *, row_number() OVER (PARTITION BY hash, id % 2 ORDER BY id) AS k FROM v_files)

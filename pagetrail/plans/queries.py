@@ -15,6 +15,7 @@ from pagetrail.operators import pages as P
 from pagetrail.operators import search as Q
 from pagetrail.operators import tree as T
 from pagetrail.plans import views as V
+from pagetrail.sources import contents as N
 from pagetrail.sources import tables as R
 from pagetrail.sources.scratch import fresh_path, written
 from pagetrail.streaming import jobs as J
@@ -337,11 +338,12 @@ def file_access(spark, d):
 
 @query
 def stored_contents(spark, d):
-    f = V.files(spark, d)
-    known = f.filter("id % 10 = 0").select("hash")
-    path = fresh_path(spark, "contents")
-    R.store_contents(f.select("id", "content"), known).write.partitionBy("prefix").parquet(path)
-    return spark.read.parquet(path).select("hash", "size", F.sha2("content", 256).alias("content_hash"))
+    """Contents put on top of an earlier upload of every tenth: what is new, read back from the store."""
+    f, path = V.files(spark, d), fresh_path(spark, "contents")
+    known = written(N.put_contents(f.filter("id % 10 = 0"), path), "known")
+    new = written(N.put_contents(f, path), "put").join(known, "hash", "left_anti")
+    there = R.read_contents(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("hash"), F.sha2("content", 256).alias("content_hash"))
+    return new.join(there, "hash").select("hash", "size", "content_hash")
 
 
 @query
@@ -394,14 +396,27 @@ def read_captures(spark, d):
     return R.read_captures(spark, path, "json").select("seq", "url", "user_id", "ts", "op", "stored", "image_filename")
 
 
-@query
-def read_contents(spark, d):
-    """Files of a thousand documents of a source at most, read whole."""
+def _document_files(spark, d):
+    """Files of a thousand documents of a source at most, a line each."""
     path, part = fresh_path(spark, "files"), F.expr("doc_id div 1000")
     lines = V.table(spark, d, "documents").select("source", part.alias("part"), "doc_id", F.translate(F.base64(F.coalesce("text", F.lit("")).cast("binary")), "\r\n", "").alias("value"))
     lines.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "value").write.partitionBy("source", "part").text(path)
     source, number = (F.regexp_extract("path", "/source=([^/]*)/part=([0-9]+)/", k) for k in (1, 2))
-    return R.read_contents(spark, path, "part-*").select(source.alias("source"), number.cast("long").alias("part"), "length", F.sha2("content", 256).alias("content_hash"))
+    return path, source.alias("source"), number.cast("long").alias("part")
+
+
+@query
+def read_contents(spark, d):
+    """Files of a thousand documents of a source at most, read whole."""
+    path, source, number = _document_files(spark, d)
+    return R.read_contents(spark, path, "part-*").select(source, number, "length", F.sha2("content", 256).alias("content_hash"))
+
+
+@query
+def chained_files(spark, d):
+    """Chained hashes of the same files, read by ranges; no row holds a file."""
+    path, source, number = _document_files(spark, d)
+    return N.chained_files(spark, path, "part-*", 4096).select(source, number, "length", "chained")
 
 
 @query

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagetrail import schemas
 from pagetrail.operators import blocks, search
+from pagetrail.sources.contents import list_files
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -28,7 +29,10 @@ def read_capture_stream(spark: SparkSession, path: str, form: str = "parquet", f
 
 
 def read_contents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    """path, modificationTime, length, content of the files below a folder; those without bytes, which Spark's reader skips, are added."""
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    empty = list_files(spark, path, glob).filter("length = 0")
+    return whole.unionByName(empty.select("path", F.timestamp_micros("modified").alias("modificationTime"), "length", F.lit(bytearray()).alias("content")))
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
