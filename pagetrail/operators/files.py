@@ -16,9 +16,9 @@ from pagetrail.sources.scratch import written
 HEAVY = 200
 
 
-def frequent(files: DataFrame, most: int = HEAVY) -> list[str]:
-    """Hashes that a frequent-items sketch holds: every hash of more than about one row in `most` is among them."""
-    row = files.filter("hash IS NOT NULL").agg(F.expr(f"approx_top_k(hash, {most}, {most * 8})").alias("top")).first()
+def frequent(rows: DataFrame, most: int = HEAVY, col: str = "hash") -> list[str]:
+    """Values that a frequent-items sketch holds: every one of more than about one row in `most` is among them."""
+    row = rows.filter(F.col(col).isNotNull()).agg(F.expr(f"approx_top_k({col}, {most}, {most * 8})").alias("top")).first()
     return [r.item for r in row.top or []]
 
 

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrail.functions import scalars as S
+from pagetrail.operators.partners import keyword_partners, related_weights
+from pagetrail.sources.scratch import written
 
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 HIDDEN = (r"(?is)<head(\s[^>]*)?>.*?</head>", r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>")
 KEYWORDS = 25
-#: Partners that a keyword brings to a page: those of largest mutual information, ties by term.
-PARTNERS = 50
 
 
 def unescaped(text: Column) -> Column:
@@ -80,34 +80,13 @@ def direct_keywords(pages: DataFrame, id_col: str, text_col: str, k: int = KEYWO
     return weighted_terms(tf, corpus_terms(tf, pages), k)
 
 
-def keyword_partners(direct: DataFrame, least: int = 2, most: int = PARTNERS) -> DataFrame:
-    """a, b, pmi: the `most` keywords b that go with keyword a on `least` pages or more, by pointwise mutual information.
-
-    A page gives at most k * (k - 1) ordered pairs, and a keyword at most `most` rows here.
-    """
-    a = direct.select("id", F.col("term").alias("a"))
-    pairs = a.join(direct.select("id", F.col("term").alias("b")), "id").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= least)
-    on = direct.groupBy("term").agg(F.count(F.lit(1)).alias("pages"))
-    n = direct.select("id").distinct().agg(F.count(F.lit(1)).cast("double").alias("n"))
-    pmi = (
-        pairs.join(on.select(F.col("term").alias("a"), F.col("pages").alias("on_a")), "a")
-        .join(on.select(F.col("term").alias("b"), F.col("pages").alias("on_b")), "b")
-        .crossJoin(F.broadcast(n))
-        .select("a", "b", F.round(F.log(F.col("both") * F.col("n") / (F.col("on_a").cast("double") * F.col("on_b"))), 6).alias("pmi"))
-    )
-    best = Window.partitionBy("a").orderBy(F.desc("pmi"), "b")
-    return pmi.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most).drop("place")
-
-
 def related_keywords(direct: DataFrame, page_terms: DataFrame, k: int = KEYWORDS, partners: DataFrame | None = None) -> DataFrame:
     """id, term, weight, rank: terms that go with a page's direct keywords on other pages but are not on it.
 
-    Weight: sum over the page's keywords of the mutual information with their partners.
+    Weight: sum over the page's keywords of the mutual information with each of their partners.
     """
-    partners = keyword_partners(direct) if partners is None else partners
-    a = direct.select("id", F.col("term").alias("a"))
-    near = a.join(partners, "a").groupBy("id", F.col("b").alias("term")).agg(F.round(F.sum("pmi"), 6).alias("weight"))
-    return top_terms(near.join(page_terms.select("id", "term"), ["id", "term"], "left_anti"), k)
+    partners = written(keyword_partners(direct), "partners") if partners is None else partners
+    return top_terms(related_weights(direct, page_terms, partners, k), k)
 
 
 def keyword_text(ranked: DataFrame, into: str) -> DataFrame:

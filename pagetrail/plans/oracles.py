@@ -52,8 +52,7 @@ dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, t
 pr AS (SELECT x.term AS a, y.term AS b, count(*) AS both_ FROM dr x JOIN dr y ON x.id = y.id AND x.term <> y.term GROUP BY ALL HAVING count(*) >= 2),
 o AS (SELECT term, count(*) AS c FROM dr GROUP BY ALL),
 pa AS (SELECT a, b, round(ln(both_ * CAST((SELECT count(DISTINCT id) FROM dr) AS DOUBLE) / (CAST(oa.c AS DOUBLE) * ob.c)), 6) AS pmi FROM pr JOIN o oa ON oa.term = a JOIN o ob ON ob.term = b),
-pm AS (SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY a ORDER BY pmi DESC, b) <= 50),
-nr AS (SELECT dr.id, b AS term, round(sum(pmi), 6) AS weight FROM dr JOIN pm ON pm.a = dr.term GROUP BY ALL),
+nr AS (SELECT dr.id, b AS term, round(sum(pmi), 6) AS weight FROM dr JOIN pa ON pa.a = dr.term GROUP BY ALL),
 rr AS (SELECT id, term, weight, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS INTEGER) AS rank
        FROM nr WHERE NOT EXISTS (SELECT 1 FROM tf WHERE tf.id = nr.id AND tf.term = nr.term) QUALIFY rank <= 25),
 dt AS (SELECT id, string_agg(term, ' ' ORDER BY rank) AS k FROM dr GROUP BY id),

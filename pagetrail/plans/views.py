@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagetrail.functions import scalars as S
 from pagetrail.operators import pages as P
 from pagetrail.operators.changes import latest_by_url
+from pagetrail.operators.partners import keyword_partners
 from pagetrail.sources.scratch import written
 
 AS_OF, LOCAL = 1_705_276_800, "host0"
@@ -77,7 +78,7 @@ def corpus(idx: DataFrame) -> dict[str, DataFrame]:
     counts = written(P.term_counts(idx, "id", "body"), "counts")
     terms = written(P.corpus_terms(counts, idx), "terms")
     direct = written(P.weighted_terms(counts, terms), "direct")
-    return {"counts": counts, "terms": terms, "direct": direct, "partners": written(P.keyword_partners(direct), "partners")}
+    return {"counts": counts, "terms": terms, "direct": direct, "partners": written(keyword_partners(direct), "partners")}
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
