@@ -30,7 +30,8 @@ def doc_stats(postings: DataFrame) -> DataFrame:
 
 
 def field_stats(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    """field, n, total, avgdl: pages with words in a field, and their words."""
+    return docs.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"), F.avg("dl").alias("avgdl"))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:

@@ -137,6 +137,8 @@ FROM v_users u WHERE id NOT IN (SELECT id FROM g)"""
 
 
 LINES = "f AS (SELECT source, doc_id // 1000 AS part, string_agg(to_base64(encode(coalesce(text, ''))), chr(10) ORDER BY doc_id) || chr(10) AS c FROM documents GROUP BY ALL)"
+CHANGED = f"""{RECORDS}, now AS (SELECT id, url, "timestamp", direct_keywords, related_keywords, CASE WHEN page_id % 7 = 3 THEN title || ' ' || description ELSE title END AS title,
+    CASE WHEN page_id % 7 = 3 THEN title ELSE description END AS description FROM rec WHERE page_id % 7 <> 5), {_post('now')}"""
 POSITIONS = "SELECT field, term, id, tf, array_to_string(positions, ' ') AS positions"
 ORACLES = {
     "page_text": f"WITH {TEXT} SELECT page_id, url, title, h1, body, description, coalesce(nullif(title, ''), nullif(h1, ''), url, '') AS shown_title FROM pd",
@@ -224,6 +226,10 @@ SELECT id, hash, filename, size, is_public FROM f WHERE k = 1 AND (id % 2 = 0 OR
     "stream_sessions": f"""WITH {REQUESTS}, {SESSIONS} SELECT request_id, r.ts, s.user_id AS session_user FROM v_requests r JOIN v_sessions s
 ON s.key = split_part(session_key, '@', 1) AND s.host = split_part(session_key, '@', 2) WHERE r.ts >= s.creation_datetime AND s.expires_at_datetime > r.ts""",
 }
+ORACLES["changed_postings"] = f"""WITH {CHANGED} {POSITIONS} FROM post"""
+ORACLES["changed_stats"] = f"WITH {CHANGED}, {STATS} SELECT field, term, df, n, round(avgdl, 6) AS avgdl FROM ts JOIN fs USING (field)"
+ORACLES["changed_search"] = f"""WITH {CHANGED}, {STATS}, {ASKED}, {_scores()}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, score, title, description, "timestamp", url FROM rk JOIN now USING (id) WHERE rank <= 15"""
 ORACLES["stream_valid"] = ORACLES["valid_at_request"]
 ORACLES["search_json"] = f"""WITH h AS ({ORACLES['search_any']})
 SELECT query_id, to_json({{'search_results': list({{'score': score, 'doc': {{'title': title, 'description': description, 'timestamp': "timestamp", 'url': url}}}} ORDER BY rank)}}) AS result FROM h GROUP BY query_id

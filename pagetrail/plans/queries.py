@@ -16,6 +16,7 @@ from pagetrail.operators import search as Q
 from pagetrail.operators import tree as T
 from pagetrail.plans import views as V
 from pagetrail.sources import contents as N
+from pagetrail.sources import increments as I
 from pagetrail.sources import tables as R
 from pagetrail.sources.scratch import fresh_path, written
 from pagetrail.streaming import jobs as J
@@ -189,6 +190,40 @@ def update_postings(spark, d):
     return Q.update_postings(p, changed, Q.build_postings(changed, FIELDS)).select("field", "term", "id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
+def _changed(spark, d):
+    """(pages as they are now, queries, postings, statistics): an index with blocks, changed twice after it was written.
+
+    Pages whose number leaves 5 of 7 are deleted; those that leave 3 have title and description exchanged, and
+    before that the title twice.
+    """
+    idx, path = V.records(spark, d), fresh_path(spark, "index")
+    R.write_index(Q.build_postings(idx, FIELDS), path, pages=idx)
+    left = F.col("page_id") % 7
+    first = idx.filter(left == 3).withColumn("description", F.col("title"))
+    I.change_index(spark, path, first.select("id"), Q.build_postings(first, FIELDS), idx)
+    touched = idx.filter(left.isin(3, 5))
+    last = idx.filter(left == 3).withColumns({"title": F.concat("title", F.lit(" "), "description"), "description": F.col("title")})
+    I.change_index(spark, path, touched.select("id"), Q.build_postings(last, FIELDS), idx)
+    return idx.filter(~left.isin(3, 5)).unionByName(last), V.queries(idx).select("query_id", "text"), *R.open_index(spark, path)
+
+
+@query
+def changed_stats(spark, d):
+    _, _, _, stats = _changed(spark, d)
+    return stats["terms"].join(stats["fields"], "field").select("field", "term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query
+def changed_postings(spark, d):
+    return _changed(spark, d)[2].select("field", "term", "id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+
+
+@query
+def changed_search(spark, d):
+    now, asked, p, stats = _changed(spark, d)
+    return Q.search(now, p, asked, stats=stats, size=15)
+
+
 @query
 def recent_captures(spark, d):
     return C.recent_captures(V.captures(spark, d))

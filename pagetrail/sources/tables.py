@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagetrail import schemas
 from pagetrail.operators import blocks, search
+from pagetrail.sources import increments, versions
 from pagetrail.sources.contents import list_files
 
 
@@ -35,24 +36,6 @@ def read_contents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return whole.unionByName(empty.select("path", F.timestamp_micros("modified").alias("modificationTime"), "length", F.lit(bytearray()).alias("content")))
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the index versions at path whose last table is complete."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-    found = [int(n.removeprefix("version-")) for n in names if n.startswith("version-")]
-    return sorted(n for n in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version-{n}/fields/_SUCCESS")))
-
-
-def _columns(df: DataFrame, at: str, name: str) -> None:
-    """The schema of a partitioned table, which has no file where it is empty."""
-    df.limit(0).write.mode("overwrite").parquet(f"{at}/{name}-columns")
-
-
-def _opened(spark: SparkSession, at: str, name: str) -> DataFrame:
-    return spark.read.schema(spark.read.parquet(f"{at}/{name}-columns").schema).parquet(f"{at}/{name}")
-
-
 def write_index(postings: DataFrame, path: str, buckets: int | None = None, pages: DataFrame | None = None, size: int = blocks.PAGES) -> int:
     """A new version of the index at path: postings by field, terms hashed into files and sorted inside, and their statistics.
 
@@ -60,19 +43,19 @@ def write_index(postings: DataFrame, path: str, buckets: int | None = None, page
     Readers see it once its last table is complete; those that opened an earlier version keep it.
     """
     spark = postings.sparkSession
-    number = max(_versions(spark, path), default=-1) + 1
+    number = max(versions.numbers(spark, path, "version-", "fields"), default=-1) + 1
     at, buckets = f"{path}/version-{number}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _columns(postings, at, "postings")
+    versions.columns(postings, at, "postings")
     placed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
     placed.repartition(buckets, "field", "bucket").sortWithinPartitions("field", "term", "id").drop("bucket").write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
-    stored = _opened(spark, at, "postings")
+    stored = versions.opened(spark, at, "postings")
     search.term_stats(stored).write.mode("overwrite").parquet(f"{at}/terms")
     search.doc_stats(stored).write.mode("overwrite").parquet(f"{at}/docs")
     docs = spark.read.parquet(f"{at}/docs")
     if pages is not None:
         blocks.page_ranges(docs, pages, size).write.mode("overwrite").parquet(f"{at}/ranges")
         made = blocks.build_blocks(stored, docs, search.field_stats(docs), spark.read.parquet(f"{at}/ranges"))
-        _columns(made, at, "blocks")
+        versions.columns(made, at, "blocks")
         placed = made.withColumn("bucket", F.pmod(F.xxhash64("term", "range"), F.lit(buckets)))
         placed.repartition(buckets, "field", "bucket").sortWithinPartitions("field", "term", "range").drop("bucket").write.mode("overwrite").partitionBy("field").parquet(f"{at}/blocks")
     search.field_stats(docs).write.mode("overwrite").parquet(f"{at}/fields")
@@ -80,16 +63,15 @@ def write_index(postings: DataFrame, path: str, buckets: int | None = None, page
 
 
 def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(postings, statistics for search, blocks among them where they were written) of the newest complete version."""
-    found = _versions(spark, path)
-    if not found:
-        raise FileNotFoundError(f"no complete index at {path}")
-    at = f"{path}/version-{found[-1]}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/blocks")
-    stats = {name: spark.read.parquet(f"{at}/{name}") for name in ("docs", "fields", "terms")}
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        stats["blocks"] = _opened(spark, at, "blocks")
-    return _opened(spark, at, "postings"), stats
+    """(postings, statistics for search, blocks among them where they were written) of the newest complete version and its changes."""
+    return increments.opened(spark, versions.newest(spark, path))
+
+
+def compact(spark: SparkSession, path: str, pages: DataFrame | None = None, keep: int = 1, **how) -> int:
+    """A new version without changes, as write_index writes it; only the `keep` newest versions stay."""
+    number = write_index(open_index(spark, path)[0], path, pages=pages, **how)
+    increments.remove_versions(spark, path, keep)
+    return number
 
 
 def store_contents(contents: DataFrame, stored: DataFrame | None = None) -> DataFrame:
