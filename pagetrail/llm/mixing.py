@@ -30,6 +30,11 @@ _MOST = 15 << TOTAL - 4
 #: Weight of a level: four levels double it.
 _STEPS = np.array([16, 19, 23, 27])
 _1, _ENDS = np.int16(1), np.int64((1 << CLASS_BITS) - 1)
+#: Kinds of guess: an empty place, confidence 1 to SURE, a place of other ids. Rows of _NEXT: wrong, right guesses.
+_OTHER, KINDS = SURE + 1, SURE + 2
+_NEXT = np.r_[[max(k >> 1, 1) for k in range(_OTHER)], 1, 1, [min(k + 1, SURE) for k in range(1, _OTHER)], 1].astype(np.int64) << 16
+_MASKS, _CHECKS = np.array([[(1 << p) - 1] for p in PLACES]), np.array([[24 - p] for p in PLACES])
+_HELD = np.arange(KINDS) % _OTHER > 1  # a wrong guess stays
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -85,9 +90,10 @@ class Models:
         self.prior, self.lane = prior, np.arange(lanes)
         self.cells = np.r_[np.tile(prior.start, lanes), np.int16(0)]  # starts of the classes; the first one's is always 0
         self.starts = self.cells[:-1].reshape(lanes, CLASSES)
-        # a place: rank, confidence (from 1; 0: empty) << 16, check << 24
-        self.places = [np.zeros(lanes << p, np.uint32) for p in PLACES]
-        self.rates = [np.tile(np.r_[0, np.full(SURE, 16_384)], lanes) for _ in PLACES]
+        # orders 1 and 2, one after the other; a place: rank, confidence (from 1; 0: empty) << 16, check << 24
+        self.lanes = lanes
+        self.places = np.zeros(lanes * sum(1 << p for p in PLACES), np.uint32)
+        self.rates = np.tile(np.r_[0, np.full(SURE, 16_384), 0], 2 * lanes)
         self.last = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
         self.widened()
 
@@ -97,28 +103,37 @@ class Models:
 
     def widened(self) -> None:
         """What each lane adds to a place in a table."""
-        self.row, self.kinds, self.tables = self.lane * CLASSES, self.lane * (SURE + 1), [self.lane << p for p in PLACES]
+        self.row = self.lane * CLASSES
+        self.kinds = np.stack([self.lane, self.lane + self.lanes]) * KINDS
+        self.tables = np.stack([self.lane << PLACES[0], (self.lanes << PLACES[0]) + (self.lane << PLACES[1])])
 
     def begin(self) -> None:
-        """Guesses of both orders and what they weigh."""
+        """Guesses of both orders, a row each, and what they weigh."""
         a, b = self.last
-        two = (a * 40_503 + b * 60_493) * 2_654_435_761 >> 7
-        keys = (a, two)
-        checks = (a >> PLACES[0] & 255, two >> PLACES[1] & 255)
-        self.at, self.guess, self.sure, self.check, self.kindrate, self.rate = [], [], [], checks, [], []
-        for k, bits in enumerate(PLACES):
-            at = self.tables[k] + (keys[k] & (1 << bits) - 1)
-            held = self.places[k].take(at).astype(np.int64)
-            sure = (held >> 16 & 255) * (held >> 24 == checks[k])
-            kindrate = self.kinds + sure
-            self.at.append(at)
-            self.guess.append(held & 0xFFFF)
-            self.sure.append(sure)
-            self.kindrate.append(kindrate)
-            self.rate.append(self.rates[k].take(kindrate))
-        second = self.rate[1] * (_MOST >> 16)
-        first = (_MOST - second) * self.rate[0] >> 16
-        self.share, self.rest = (first, second), (1 << TOTAL) - first - second
+        keys = np.empty((2, len(a)), np.int64)
+        keys[0], two = a, keys[1]
+        np.multiply(a, 40_503, out=two)
+        two += b * 60_493
+        two *= 2_654_435_761
+        two >>= 7
+        self.at = keys & _MASKS
+        self.at += self.tables
+        keys <<= _CHECKS
+        keys &= 255 << 24
+        held = self.places.take(self.at).astype(np.int64)
+        self.guess, self.check = held & 0xFFFF, keys
+        held ^= keys
+        held >>= 16  # with the place's own check, all that is left is the confidence
+        self.sure = np.minimum(held, _OTHER, out=held)
+        self.kindrate = self.kinds + held
+        self.rate = self.rates.take(self.kindrate)
+        self.share = np.empty_like(keys)
+        first, second = self.share
+        np.multiply(self.rate[1], _MOST >> 16, out=second)
+        np.subtract(_MOST, second, out=first)
+        first *= self.rate[0]
+        first >>= 16
+        self.rest = (1 << TOTAL) - first - second
 
     def part_of(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of classes in order 0's part of the range."""
@@ -127,50 +142,74 @@ class Models:
         end = (self.cells.take(at + 1) - _1 & _ENDS) + 1  # after the last class stands the 0 of the next lane
         return low, (self.rest * end >> CLASS_BITS) - low
 
-    def plain(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of ranks x in order 0's part of the range."""
-        low, part = self.part_of(self.prior.kind.take(x))
-        start = part * self.prior.low.take(x) >> SHARE_BITS
-        return low + start, (part * self.prior.high.take(x) >> SHARE_BITS) - start
+    def plain(self, x: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of ranks x of these classes in order 0's part of the range."""
+        low, part = self.part_of(kind)
+        start = part * self.prior.low.take(x)
+        start >>= SHARE_BITS
+        part *= self.prior.high.take(x)
+        part >>= SHARE_BITS
+        part -= start
+        start += low
+        return start, part
 
     def range_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of ranks x in the mixture, out of 2^TOTAL."""
-        start, size = self.plain(x)
-        for guess, share in zip(self.guess, self.share, strict=True):
-            start += share * (guess < x)
-            size += share * (guess == x)
+        self.kind, self.hit = self.prior.kind.take(x), self.guess == x
+        start, size = self.plain(x, self.kind)
+        for more in self.share * (self.guess < x):
+            start += more
+        for more in self.share * self.hit:
+            size += more
         return start, size
 
     def rank_at(self, place: np.ndarray) -> np.ndarray:
         """The rank whose part of the mixture holds place."""
-        inside, rest = [], place.copy()
-        for guess, share, other, more in zip(self.guess, self.share, self.guess[::-1], self.share[::-1], strict=True):
-            start, size = self.plain(guess)
-            start += more * (other < guess)
-            beyond = place >= start
-            inside.append(beyond & (place < start + size + share + more * (other == guess)))
-            rest -= share * beyond
-        rest = np.minimum(np.maximum(rest, 0), self.rest - 1)
-        share = ((rest + 1 << CLASS_BITS) - 1) // self.rest
-        under = np.bitwise_count((self.starts[: len(self.lane)] <= share.astype(np.int16)[:, None]).view(np.uint64))
+        guess, share = self.guess, self.share
+        start, size = self.plain(guess, self.prior.kind.take(guess))
+        start += share[::-1] * (guess[::-1] < guess)
+        beyond = place >= start
+        size += share
+        size += share[::-1] * (guess[0] == guess[1])
+        size += start
+        inside = place < size
+        inside &= beyond
+        first, second = share * beyond
+        rest = place - first
+        rest -= second
+        np.maximum(rest, 0, out=rest)
+        np.minimum(rest, self.rest - 1, out=rest)
+        part = ((rest + 1 << CLASS_BITS) - 1) // self.rest
+        under = np.bitwise_count((self.starts[: len(self.lane)] <= part.astype(np.int16)[:, None]).view(np.uint64))
         kind = under[:, 0].astype(np.int64) + under[:, 1] - 1
         low, part = self.part_of(kind)
-        within = ((rest - low + 1 << SHARE_BITS) - 1) // np.maximum(part, 1)
-        x = self.prior.find.take((kind << SHARE_BITS) + np.clip(within, 0, (1 << SHARE_BITS) - 1)).astype(np.int64)
-        return np.where(inside[1], self.guess[1], np.where(inside[0], self.guess[0], x))
+        rest -= low
+        within = ((rest + 1 << SHARE_BITS) - 1) // np.maximum(part, 1)
+        within &= (1 << SHARE_BITS) - 1  # beyond it only where a guess is right
+        x = self.prior.find.take((kind << SHARE_BITS) + within).astype(np.int64)
+        return np.where(inside[1], guess[1], np.where(inside[0], guess[0], x))
 
     def told(self, x: np.ndarray) -> None:
+        """The ranks that range_of() was asked last."""
         starts = self.starts[: len(self.lane)]
-        starts += self.prior.toward.take(self.prior.kind.take(x), axis=0) - starts >> RATE
-        for k in range(2):
-            sure, hit = self.sure[k], self.guess[k] == x
-            known = sure > 0
-            self.rates[k][self.kindrate[k]] = (self.rate[k] + ((hit << 16) - hit - self.rate[k] >> RATE)) * known
-            # a wrong guess loses confidence, and its place below two
-            stays = (hit & known) | (sure > 1)
-            new = np.where(hit & known, np.minimum(sure + 1, SURE), np.maximum(sure >> 1, 1))
-            held = np.where(stays, self.guess[k], x) | new << 16 | self.check[k] << 24
-            self.places[k][self.at[k]] = held.astype(np.uint32)  # of the same type: else far slower
+        move = self.prior.toward.take(self.kind, axis=0)
+        move -= starts
+        move >>= RATE
+        starts += move
+        hit = self.hit.astype(np.int64)
+        aim = hit * 65_535
+        aim -= self.rate
+        aim >>= RATE
+        aim += self.rate
+        self.rates[self.kindrate.reshape(-1)] = aim.reshape(-1)
+        self.rates[0::KINDS] = self.rates[_OTHER::KINDS] = 0  # what is not known weighs nothing
+        # a wrong guess loses confidence, and its place below two
+        held = np.where(_HELD.take(self.sure), self.guess, x)
+        held |= self.check
+        hit *= KINDS
+        hit += self.sure
+        held |= _NEXT.take(hit)
+        self.places[self.at.reshape(-1)] = held.astype(np.uint32).reshape(-1)  # of the same type: else far slower
         self.last = [x, self.last[0]]
 
 
@@ -188,14 +227,16 @@ def encode(ids: np.ndarray, block: int, prior: Prior) -> list[bytes]:
     ranks[: len(ids)] = prior.rank[ids]
     ranks = np.ascontiguousarray(ranks.reshape(lanes, block).T)
     models, low, span = Models(lanes, prior), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out, used = np.zeros((lanes, min(len(ids), block) + 2), np.uint32), np.zeros(lanes, np.int64)
+    width = min(len(ids), block) + 2
+    out, begins = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
+    ends = begins.copy()  # of what each lane has written
 
     def carried(over: np.ndarray) -> None:
-        back = used[over] - 1
-        while len(over):  # a carry runs back into what is written
-            out[over, back] += np.uint32(1)
-            on = out[over, back] == 0
-            over, back = over[on], back[on] - 1
+        back = ends[over] - 1
+        while len(back):  # a carry runs back into what is written
+            word = out[back] + np.uint32(1)
+            out[back] = word
+            back = back[word == 0] - 1
 
     for step, active in _lanes(len(ids), block):
         if active < len(models.lane):
@@ -210,9 +251,9 @@ def encode(ids: np.ndarray, block: int, prior: Prior) -> list[bytes]:
             carried(over)
         shift = np.flatnonzero(wide < _LOW)
         if len(shift):
-            top = at[shift]
-            out[shift, used[shift]] = (top >> _SHIFT).astype(np.uint32)
-            used[shift] += 1
+            top, end = at[shift], ends[shift]
+            out[end] = (top >> _SHIFT).astype(np.uint32)
+            ends[shift] = end + 1
             at[shift] = top << _SHIFT
             wide[shift] <<= _SHIFT
         low[:active], span[:active] = at, wide
@@ -220,9 +261,8 @@ def encode(ids: np.ndarray, block: int, prior: Prior) -> list[bytes]:
     # one word more names a place inside the last range; words after it read as zeros
     last = (low >> _SHIFT) + ((low & _LOW - np.uint64(1)) > 0)
     carried(np.flatnonzero(last >= _LOW))
-    out[np.arange(lanes), used] = last.astype(np.uint32)
-    used += 1
-    return [out[i, : used[i]].astype("<u4").tobytes() for i in range(lanes)]
+    out[ends] = last.astype(np.uint32)
+    return [out[a : b + 1].astype("<u4").tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
 def decode(blocks: list[bytes], n: int, block: int, prior: Prior) -> np.ndarray:
@@ -231,7 +271,8 @@ def decode(blocks: list[bytes], n: int, block: int, prior: Prior) -> np.ndarray:
     words = np.zeros((lanes, max(map(len, blocks)) // 4 + 3), np.uint32)
     for i, b in enumerate(blocks):
         words[i, : len(b) // 4] = np.frombuffer(b, "<u4")
-    code, used = words[:, 0].astype(np.uint64) << _SHIFT | words[:, 1], np.full(lanes, 2)
+    code, ends = words[:, 0].astype(np.uint64) << _SHIFT | words[:, 1], np.arange(lanes) * words.shape[1] + 2  # of what each lane has read
+    words = words.reshape(-1)
     models, span, ranks = Models(lanes, prior), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros((min(n, block), lanes), np.uint16)
     for step, active in _lanes(n, block):
         if active < len(models.lane):
@@ -243,8 +284,9 @@ def decode(blocks: list[bytes], n: int, block: int, prior: Prior) -> np.ndarray:
         rest, wide = code[:active] - unit * start.view(np.uint64), unit * size.view(np.uint64)
         shift = np.flatnonzero(wide < _LOW)
         if len(shift):
-            rest[shift] = rest[shift] << _SHIFT | words[shift, used[shift]]
-            used[shift] += 1
+            end = ends[shift]
+            rest[shift] = rest[shift] << _SHIFT | words.take(end)
+            ends[shift] = end + 1
             wide[shift] <<= _SHIFT
         code[:active], span[:active] = rest, wide
         models.told(x)

@@ -60,6 +60,28 @@ def test_segments_are_the_whole(texts, library):
     assert lists(own, [None, "a", *texts, "b"])[2:-1] == want
 
 
+def test_plain_segments_are_encoded_many_to_a_text(library):
+    own = tokens.encoder(JSON)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghé'1日.,_") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    segments = [" " + w for w in words] + ["a", " ", "  b", "\n", " c ", " d\u00a0e", " d\u2003", "", " \x1cf", " \ufffd", " " + "g" * 5000]
+    rng.shuffle(segments)
+    asked, each = [], own.each
+
+    def counted(texts):
+        asked.extend(texts)
+        return each(texts)
+
+    own.each = counted
+    try:
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.many([s.encode() for s in segments])] == [library(s) for s in segments]
+        assert len(asked) < 100
+        added = [" x", " <|endoftext|>", " y<|endoftext|>z", " w"]  # those of an added token are not
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.many([s.encode() for s in added])] == [own.tokenizer.encode(s, add_special_tokens=False).ids for s in added]
+    finally:
+        del own.each
+
+
 def test_added_tokens_are_those_of_the_plain_call(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -122,6 +144,25 @@ def test_coder(n, block):
         assert (mixing.decode(mixing.encode(ids, block, prior_of(ids)), len(ids), block, prior_of(ids)) == ids).all()
 
 
+def test_coded_bytes_are_those_of_earlier_files():
+    ids = np.r_[np.random.default_rng(5).zipf(1.3, 20_000) % 50_257, np.tile(np.arange(300), 20)]
+    assert zlib.crc32(b"".join(mixing.encode(ids, 512, prior_of(ids)))) == 4184591638
+
+
+def test_guesses_of_both_orders_are_looked_up_at_once():
+    class Counted(np.ndarray):
+        takes = 0
+
+        def take(self, *a, **how):
+            Counted.takes += 1
+            return np.asarray(self).take(*a, **how)
+
+    models = mixing.Models(600, prior_of(np.arange(100)))
+    models.places = models.places.view(Counted)
+    models.begin()
+    assert models.guess.shape == (2, 600) and Counted.takes == 1
+
+
 def test_coder_with_every_id():
     ids = np.random.default_rng(0).permutation(np.r_[np.arange(65_536), np.zeros(200_000, np.int64)])
     assert (mixing.decode(mixing.encode(ids, 512, prior_of(ids)), len(ids), 512, prior_of(ids)) == ids).all()
