@@ -72,6 +72,7 @@ class Prior:
         self.low = np.floor((cum[:-1] - cum[firsts[self.kind]]) / mass * room).astype(np.int64) + place
         self.high = np.r_[self.low[1:], 0]
         self.high[ends - 1] = 1 << SHARE_BITS
+        self.parts = self.kind << 36 | self.low << 18 | self.high  # looked up at once
         self.find = np.zeros(CLASSES << SHARE_BITS, np.uint16)  # rank at each place of each class
         self.find[: len(firsts) << SHARE_BITS] = np.repeat(np.arange(n), self.high - self.low)
         share = np.full(CLASSES, LEAST, np.int64)
@@ -138,25 +139,36 @@ class Models:
     def part_of(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of classes in order 0's part of the range."""
         at = self.row + kind
-        low = self.rest * self.cells.take(at) >> CLASS_BITS
-        end = (self.cells.take(at + 1) - _1 & _ENDS) + 1  # after the last class stands the 0 of the next lane
-        return low, (self.rest * end >> CLASS_BITS) - low
-
-    def plain(self, x: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of ranks x of these classes in order 0's part of the range."""
+        low = self.rest * self.cells.take(at)
+        low >>= CLASS_BITS
+        at += 1
+        end = self.cells.take(at) - _1 & _ENDS  # after the last class stands the 0 of the next lane
+        end += 1
+        end *= self.rest
+        end >>= CLASS_BITS
+        end -= low
+        return low, end
+
+    def plain(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, start, size) of ranks x in order 0's part of the range."""
+        size = self.prior.parts.take(x)
+        kind = size >> 36
         low, part = self.part_of(kind)
-        start = part * self.prior.low.take(x)
+        start = size >> 18
+        start &= (1 << 18) - 1
+        start *= part
         start >>= SHARE_BITS
-        part *= self.prior.high.take(x)
-        part >>= SHARE_BITS
-        part -= start
+        size &= (1 << 18) - 1
+        size *= part
+        size >>= SHARE_BITS
+        size -= start
         start += low
-        return start, part
+        return kind, start, size
 
     def range_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of ranks x in the mixture, out of 2^TOTAL."""
-        self.kind, self.hit = self.prior.kind.take(x), self.guess == x
-        start, size = self.plain(x, self.kind)
+        self.hit = self.guess == x
+        self.kind, start, size = self.plain(x)
         for more in self.share * (self.guess < x):
             start += more
         for more in self.share * self.hit:
@@ -166,7 +178,7 @@ class Models:
     def rank_at(self, place: np.ndarray) -> np.ndarray:
         """The rank whose part of the mixture holds place."""
         guess, share = self.guess, self.share
-        start, size = self.plain(guess, self.prior.kind.take(guess))
+        _, start, size = self.plain(guess)
         start += share[::-1] * (guess[::-1] < guess)
         beyond = place >= start
         size += share
