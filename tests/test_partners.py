@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
 from pagetrail.operators import pages, partners
+from pagetrail.sources.scratch import written
 
 
 def plain(direct, held, k):
@@ -91,3 +93,21 @@ def test_empty(spark):
     none, one = frame(spark, []), frame(spark, [(1, "a")])
     assert partners.keyword_partners(none).count() == 0
     assert pages.related_keywords(none, none).count() == pages.related_keywords(one, one).count() == pages.related_keywords(one, none).count() == 0
+
+
+def joins(df):
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    return [line.strip(" :+-") for line in plan.split("\n") if re.search(r"(HashJoin|SortMergeJoin) ", line)]
+
+
+def test_no_broadcast_of_what_grows(spark, made):
+    """Guessed sizes of such small tables would all allow it: only the 200 frequent words and rows of a page are sent."""
+    direct, held = (frame(spark, rows) for rows in made)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) >= 10 << 20
+    pairs = partners.keyword_partners(direct)
+    assert all(j.startswith("SortMergeJoin") for j in joins(pairs)) and len(joins(pairs)) == 2
+    met = joins(partners.related_weights(direct, held, written(pairs, "pairs"), 5))
+    assert sum(bool(re.match(r"SortMergeJoin \[(a|b|term|key)#", j)) for j in met) >= 4, met
+    assert any(re.match(r"SortMergeJoin \[a#\w+, part#\w+\]", j) for j in met), met
+    counts = pages.corpus_terms(direct.groupBy("id", "term").count(), direct)
+    assert [j[:13] for j in joins(pages.weighted_terms(held.selectExpr("id", "term", "1 AS tf"), counts))] == ["SortMergeJoin"]
