@@ -4,11 +4,12 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
 from pagetrail.operators import pages, partners
-from pagetrail.sources.scratch import written
+from pagetrail.sources.scratch import own_dir, written
 
 
 def plain(direct, held, k):
@@ -100,14 +101,35 @@ def joins(df):
     return [line.strip(" :+-") for line in plan.split("\n") if re.search(r"(HashJoin|SortMergeJoin) ", line)]
 
 
-def test_no_broadcast_of_what_grows(spark, made):
+def test_no_broadcast_of_what_grows(spark, made, monkeypatch):
     """Guessed sizes of such small tables would all allow it: only the 200 frequent words and rows of a page are sent."""
     direct, held = (frame(spark, rows) for rows in made)
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) >= 10 << 20
     pairs = partners.keyword_partners(direct)
     assert all(j.startswith("SortMergeJoin") for j in joins(pairs)) and len(joins(pairs)) == 2
-    met = joins(partners.related_weights(direct, held, written(pairs, "pairs"), 5))
+    met, write = [], partners.written
+    monkeypatch.setattr(partners, "written", lambda df, *how: met.extend(joins(df)) or write(df, *how))
+    met += joins(partners.related_weights(direct, held, write(pairs, "pairs"), 5))
     assert sum(bool(re.match(r"SortMergeJoin \[(a|b|term|key)#", j)) for j in met) >= 4, met
     assert any(re.match(r"SortMergeJoin \[a#\w+, part#\w+\]", j) for j in met), met
     counts = pages.corpus_terms(direct.groupBy("id", "term").count(), direct)
     assert [j[:13] for j in joins(pages.weighted_terms(held.selectExpr("id", "term", "1 AS tf"), counts))] == ["SortMergeJoin"]
+
+
+def test_passes_leave_candidates_alone(spark, made):
+    """The same rows where parts are taken in passes; of what the passes read nothing stays, nor do shuffle files."""
+    direct, held = made
+    pmi, want = plain(direct, set(held), 5)
+    pairs = written(partners.keyword_partners(frame(spark, direct)), "pairs")
+    before = {p.name for p in Path(own_dir(spark).removeprefix("file://")).iterdir()}
+    old = set(shuffles(spark))
+    got = partners.related_weights(frame(spark, direct), frame(spark, held), pairs, 5, 16, 7, most=1)
+    left = sorted(p.name.split("-")[0] for p in Path(own_dir(spark).removeprefix("file://")).iterdir() if p.name not in before)
+    assert left == ["candidates"] * 4 + ["pages", "vocabulary"]
+    assert set(shuffles(spark)) <= old
+    assert sorted(((r.id, r.term, round(r.weight, 6), r["rank"]) for r in pages.top_terms(got, 5).collect()), key=repr) == want and want
+
+
+def shuffles(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return [f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f and Path(f).exists()]
