@@ -1,7 +1,8 @@
 """Contents in the shared store, written by the tasks that read them, and chained hashes of files of any length.
 
 Contents do not move between tasks: a task puts them under their digest, and digests alone are shuffled; of
-long files each task reads ranges and gives their digests, which are chained in order for each file.
+long files each task reads ranges and gives their digests, which are chained in order for each file. Files are
+listed and read by tasks: Spark's own reader of whole files keeps all names in the driver.
 
 Defined results: a null content is not stored; an empty one is a file of no bytes, whose chained hash is '';
 contents that repeat, tasks that run twice and digests that are there already leave one file and do not touch
@@ -19,10 +20,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagetrail.sources.scratch import written
+
 #: Bytes of a link of the chain; one is held in memory at a time.
 CHUNK = 4 << 20
 #: Links that a task reads, on average.
 LINKS = 64
+#: Bytes of whole files that a task reads, on average, and holds at once, with the last of them.
+READ, HELD = 64 << 20, 8 << 20
 
 
 def located(path: str):
@@ -92,6 +97,37 @@ def put_contents(contents: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(put, "hash string, size long").groupBy("hash").agg(F.max("size").alias("size"))
 
 
+def read_contents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path, modificationTime, length, content of the files below a folder, empty ones too.
+
+    Names are listed by tasks into a table, dealt out and read by tasks; the driver knows their number and bytes alone.
+    """
+    import pyarrow as pa
+
+    files = written(list_files(spark, path, glob), "listing")
+    total = files.agg(F.sum("length")).first()[0] or 0
+
+    def read(batches: Iterator):
+        names = ["path", "modified", "length", "content"]
+        for batch in batches:
+            rows, held = [], 0
+            for name, modified, length in zip(*(batch.column(c).to_pylist() for c in names[:3]), strict=True):
+                system, at = located(name)
+                with system.open_input_file(at) as stream:
+                    rows.append((name, modified, length, stream.read()))
+                held += length
+                if held >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    dealt = files.repartition(max(spark.sparkContext.defaultParallelism, total // READ))
+    whole = dealt.mapInArrow(read, "path string, modified long, length long, content binary")
+    return whole.select("path", F.timestamp_micros("modified").alias("modificationTime"), "length", "content")
+
+
 def chained_files(spark: SparkSession, path: str, glob: str = "*", chunk: int = CHUNK) -> DataFrame:
     """path, length, chained of every file below a folder: the chained hash of its links of `chunk` bytes."""
     import pyarrow as pa

@@ -47,3 +47,18 @@ def test_contents_stay_in_the_task_that_reads_them(spark, tmp_path):
     assert moved and all("content#" not in part.split("\n")[0] for part in moved)
     assert contents.put_contents(df.filter("false"), root).count() == 0
     assert df.select(F.count("content")).first()[0] == 25
+
+
+def test_whole_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """No plan names the files, so the driver does not hold them; batches are bounded by bytes."""
+    made = {f"{k % 7}/f{k}": bytes([k]) * (k * 997 % 5000) for k in range(60)}
+    for name, data in made.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(contents, "HELD", 2000, raising=False)
+    monkeypatch.setattr(contents, "READ", 9000, raising=False)
+    read = tables.read_contents(spark, f"file://{tmp_path}", "f*")
+    assert {r.path.split(f"{tmp_path}/")[1]: bytes(r.content) for r in read.collect()} == made
+    assert read.schema.simpleString() == "struct<path:string,modificationTime:timestamp,length:bigint,content:binary>"
+    assert not any(f"{tmp_path}/" in f for f in read.inputFiles())
+    assert tables.read_contents(spark, f"file://{tmp_path}", "none*").collect() == []
