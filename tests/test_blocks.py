@@ -97,6 +97,22 @@ def test_ranges_of_equal_bounds_are_scored_once(spark, tmp_path, monkeypatch):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_many_bounds_are_merged(spark, stored, monkeypatch):
+    """Bounds beyond SENT rows are no broadcast, however small Spark takes their file to be; the hits are the same."""
+    _, _, stats = stored
+    asked = spark.createDataFrame([(1, "late all w0")], "query_id long, text string")
+
+    def found():
+        best = blocks.best(stats, search.query_terms(asked), asked, 5)
+        return spark._jvm.PythonSQLUtils.explainString(best._jdf.queryExecution(), "simple"), sorted(map(tuple, best.collect()))
+
+    few, want = found()
+    monkeypatch.setattr(blocks, "SENT", 0, raising=False)
+    many, got = found()
+    assert "SortMergeJoin [field#" in many and "SortMergeJoin [field#" not in few
+    assert {r[:2] for r in want} == {r[:2] for r in got} and want
+
+
 def test_empty_index(spark, stored, tmp_path):
     pages = stored[0].filter("false")
     tables.write_index(search.build_postings(pages, FIELDS), f"file://{tmp_path}/none", pages=pages)
